@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
+from .license_scan import license_sql, scan_licenses
 from .token_counts import count_tokens
 
 
@@ -24,12 +25,17 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op7_bpe_codec": op7_bpe_codec,
+        "op8_license_scan": op8_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": license_sql()}
