@@ -32,6 +32,7 @@ DIMENSIONS = 1 << 15
 LENGTHS = (1, 2, 3)
 ROWS = 64
 CHUNK = 1 << 20
+SALTS = 64
 UNKNOWN = "und"
 
 
@@ -105,7 +106,8 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col, folds, fold))
     order = F.xxhash64(F.col(id_col).cast("string"))
     ranked = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), order.alias("h"))
-    ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rn") <= per_label)
+    for key in (["lang", F.pmod("h", F.lit(SALTS))], ["lang"]):  # a label with most of the rows is first thinned in SALTS parts
+        ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("h", "id"))).where(F.col("rn") <= per_label)
     chosen = ranked.orderBy("rn", "lang", "h").limit(sample)
     texts = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
     texts = texts.join(F.broadcast(chosen.select("id", "lang", "rn", "h")), "id")  # at most `sample` rows
