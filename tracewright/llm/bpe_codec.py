@@ -24,14 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe_core import Memo, Vocabulary
-from .common import bounded_batches
+from .common import bounded_batches, text_groups
 
 #: The pre-token pattern of the word tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that str.split() takes for white space and the pattern's \s doesn't.
 CONTROL_SPACE = re.compile(r"[\x1c-\x1f]")
 WHITE_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-GROUP = 64
 
 
 class WordCodec:
@@ -139,8 +138,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         codec = WordCodec(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for i in range(0, len(text), GROUP):
-                coded = codec.encode(text.slice(i, GROUP).to_pylist())
+            for start, end in text_groups(text):
+                coded = codec.encode(text.slice(start, end - start).to_pylist())
                 plain = [codec.decode(c) for c in coded]
                 counts = pa.array([len(c) // 4 for c in coded], pa.int64())
                 if digests:
@@ -149,7 +148,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     offsets = pa.array(np.concatenate(([0], np.cumsum(counts.to_numpy()))).astype(np.int32))
                     flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
                     values = [pa.ListArray.from_arrays(offsets, flat), pa.array(plain, pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, GROUP), counts, *values], ["id", "n_tokens", *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), counts, *values], ["id", "n_tokens", *names])
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     kinds = ["string", "string"] if digests else ["array<int>", "string"]

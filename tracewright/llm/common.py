@@ -53,8 +53,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the files below `df` as the planner knows it; a small constant where it doesn't."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    n = int(size.toString())
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return n if n < 1 << 58 else 1 << 26
 
 
@@ -99,3 +98,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xA3B195354A39B70D)
     return x ^ (x >> np.uint64(32))
+
+
+def text_groups(text: pa.Array, most: int = 2 << 20) -> list[tuple[int, int]]:
+    """Row ranges of a string column of at most `most` bytes each."""
+    return slices(utf8(text)[1], most)

@@ -12,6 +12,7 @@ from .bpe_codec import encode_decode
 from .language_id import fit_language, identify_language
 from .license_scan import license_sql, scan_licenses
 from .token_counts import count_tokens
+from .token_store import store_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, fit_language(docs))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op5_language_id": op5_language_id,
+        "op6_token_store": op6_token_store,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_license_scan": op8_license_scan,
     }

@@ -23,12 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe_core import Memo, Vocabulary
-from .common import bounded_batches
+from .common import bounded_batches, text_groups
 
 #: The pre-token pattern of the byte-level tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ODD_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-GROUP = 64
 
 
 class TokenCounter:
@@ -96,8 +95,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             text = batch.column(1).fill_null("")
             n_tokens: list[int] = []
-            for i in range(0, len(text), GROUP):
-                n_tokens += counter.count(text.slice(i, GROUP).to_pylist())
+            for start, end in text_groups(text):
+                n_tokens += counter.count(text.slice(start, end - start).to_pylist())
             tokens = pa.array(n_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(text).cast(pa.int64()), tokens, pc.greater(tokens, limit)],
