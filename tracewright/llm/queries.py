@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
+from .embedding_dedup import near_embeddings
 from .language_id import fit_language, identify_language
 from .license_scan import license_sql, scan_licenses
 from .token_counts import count_tokens
@@ -23,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return identify_language(docs, fit_language(docs))
@@ -43,6 +48,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_language_id": op5_language_id,
         "op6_token_store": op6_token_store,
         "op7_bpe_codec": op7_bpe_codec,
