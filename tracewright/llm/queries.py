@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .embedding_dedup import near_embeddings
+from .jaccard_join import jaccard_join
 from .language_id import fit_language, identify_language
 from .license_scan import license_sql, scan_licenses
 from .token_counts import count_tokens
@@ -45,6 +46,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_store": op6_token_store,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_license_scan": op8_license_scan,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
