@@ -17,6 +17,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -107,35 +108,43 @@ class WordCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut: list[list] = []
-        for text in texts:
-            if self.added and any(m in text for m in self.marks):
-                row: list = []
-                for part in self.added.split(text):
-                    row += [self.vocabulary.added[part]] if part in self.vocabulary.added else self.units(self.normalize(part))
-                cut.append(row)
-            else:
-                cut.append(self.units(self.normalize(text)))
-        self._learn({u for row in cut for u in row if not isinstance(u, int)} if self.marks else set().union(*cut))
-        get = self.words.young
-        return [
-            b"".join(np.array([u], "<u4").tobytes() if isinstance(u, int) else get[u] for u in row)
-            if any(isinstance(u, int) for u in row)
-            else b"".join(map(get.__getitem__, row))
-            for row in cut
-        ]
+        if self.added:
+            marked = [i for i, text in enumerate(texts) if any(m in text for m in self.marks)]
+            if marked:
+                texts = list(texts)
+                apart = {}
+                for i in marked:
+                    parts = self.added.split(texts[i])
+                    codes = self.encode(parts[::2])
+                    between = [np.array([self.vocabulary.added[m]], "<u4").tobytes() for m in parts[1::2]] + [b""]
+                    apart[i] = b"".join(x for pair in zip(codes, between, strict=True) for x in pair)
+                    texts[i] = ""
+                out = self.encode(texts)
+                for i, code in apart.items():
+                    out[i] = code
+                return out
+        cut = [self.units(self.normalize(text)) for text in texts]
+        self._learn(set().union(*cut))
+        get = self.words.young.__getitem__
+        return [b"".join(map(get, row)) for row in cut]
 
     def decode(self, ids: bytes) -> str:
         """The token texts, joined by blanks: the file names no decoder."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(2)
+def codec_for(path: str) -> WordCodec:
+    """One codec per worker process: its memo serves all tasks that the process runs."""
+    return WordCodec(path)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids array<int>, decoded string); with `digests` SHA-256 of ids and text instead of the values."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(tokenizer)
+        codec = codec_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
             for start, end in text_groups(text):

@@ -143,7 +143,7 @@ class Vocabulary:
 class Memo:
     """A map of two generations: when the young one is full it becomes the old one, so memory stays bounded."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 350_000):
         self.young: dict = {}
         self.old: dict = {}
         self.most = most

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +87,18 @@ class TokenCounter:
         return [b + sum(map(spaced, f)) + sum(map(plain, s)) for b, f, s in zip(base, fast, slow, strict=True)]
 
 
+@lru_cache(2)
+def counter_for(path: str) -> TokenCounter:
+    """One counter per worker process: its memo serves all tasks that the process runs."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Adds byte and token counts: (id, n_bytes, n_tokens, over_limit)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer)
+        counter = counter_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
             n_tokens: list[int] = []

@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,12 @@ class LibraryCodec(WordCodec):
             self.words.young.update((u, blob[b - 4 * n : b]) for u, n, b in zip(part, size.tolist(), upto.tolist(), strict=True))
 
 
+@lru_cache(2)
+def codec_for(path: str) -> LibraryCodec:
+    """One codec per worker process: its memo serves all tasks that the process runs."""
+    return LibraryCodec(path)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Directly addressable codes of an array of unsigned 32-bit ids."""
     values, levels = ids.astype(np.uint32), []
@@ -111,6 +118,25 @@ class Codes:
             at = before[at >> 9].astype(np.int64) + within[at >> 6] + lower
         return out
 
+    def span(self, start: int, end: int) -> np.ndarray:
+        """The ids of consecutive places: one directory look-up per level, whatever came before."""
+        out, where = np.zeros(end - start, np.uint32), None
+        for level, (bits, before, within, chunk) in enumerate(self.levels):
+            part = chunk[start:end].astype(np.uint32) << np.uint32(8 * level)
+            if where is None:
+                out |= part
+            else:
+                out[where] |= part
+            w = start >> 6
+            on = np.unpackbits(bits[w : -(-end // 64)].view(np.uint8), bitorder="little")[start - 64 * w :][: end - start].view(bool)
+            if not on.any():
+                break
+            lower = np.bitwise_count(bits[w] & ((np.uint64(1) << np.uint64(start & 63)) - np.uint64(1)))
+            start = int(before[start >> 9]) + int(within[w]) + int(lower)
+            end = start + int(on.sum())
+            where = np.flatnonzero(on) if where is None else where[on]
+        return out
+
 
 def file_bytes(ids: list, tokens: np.ndarray, offsets: np.ndarray) -> bytes:
     """A file: document ids (with a flag for null), their offsets, and the packed tokens."""
@@ -133,7 +159,7 @@ class TokenFile:
         self.codes = Codes(blob, 24 + 17 * n)
 
     def document(self, i: int) -> np.ndarray:
-        return self.codes.get(np.arange(self.offsets[i], self.offsets[i + 1]))
+        return self.codes.span(int(self.offsets[i]), int(self.offsets[i + 1]))
 
 
 def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -145,7 +171,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, task = LibraryCodec(tokenizer), TaskContext.get()
+        codec, task = codec_for(tokenizer), TaskContext.get()
         store, folder = _store(path)
         ids: list = []
         parts: list[bytes] = []
@@ -196,7 +222,7 @@ def read_tokens(spark: SparkSession, files: DataFrame, path: str, id_col: str =
                 for a in range(0, len(file.ids), 1000):
                     b = min(a + 1000, len(file.ids))
                     offsets = file.offsets[a : b + 1]
-                    tokens = file.codes.get(np.arange(offsets[0], offsets[-1])).astype("<u4")
+                    tokens = file.codes.span(int(offsets[0]), int(offsets[-1])).astype("<u4")
                     cut = (offsets - offsets[0]).tolist()
                     if checks:
                         blob = tokens.tobytes()
