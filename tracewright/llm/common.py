@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import workers_find_package
+
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Caps the Arrow batches of the session at `rows` rows and 16 MB; unions don't take over partitionings."""
+    workers_find_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -13,6 +13,7 @@ from .embedding_dedup import near_embeddings
 from .jaccard_join import jaccard_join
 from .language_id import fit_language, identify_language
 from .license_scan import license_sql, scan_licenses
+from .suffix_dedup import drop_repeats
 from .token_counts import count_tokens
 from .token_store import store_and_read
 
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -52,6 +57,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_token_counts": op3_token_counts,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_language_id": op5_language_id,
