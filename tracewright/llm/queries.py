@@ -14,6 +14,7 @@ from .embedding_dedup import near_embeddings
 from .jaccard_join import jaccard_join
 from .language_id import fit_language, identify_language
 from .license_scan import license_sql, scan_licenses
+from .quality import fit_quality, score_quality
 from .suffix_dedup import drop_repeats
 from .token_counts import count_tokens
 from .token_store import store_and_read
@@ -57,6 +58,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
 
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_store": op6_token_store,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_license_scan": op8_license_scan,
+        "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
