@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ MANY = 1000
 BLOCK = 1 << 21
 RUN = np.dtype([("key", "<u8"), ("code", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("size", "<i2")])
 SPAN = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("size", "<i8")])
+DOC = np.dtype([("id", "<i8"), ("tag", "<i8")])
 WANT = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("size", "<i2"), ("key", "<u8"), ("many", "?")])
 POINT = np.dtype([("key", "<u8"), ("code", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("start", "<i8")])
 RUNS, SPANS, WANTS, POINTS, TEXTS, MARKS = range(6)
@@ -58,6 +60,33 @@ def _pack(rows: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
 
 
+def _pack_runs(rows: np.ndarray) -> bytes:
+    """Runs of few documents: each document once, and small numbers for the rest."""
+    own = np.zeros(len(rows), DOC)
+    own["id"], own["tag"] = rows["id"], rows["tag"]
+    doc, at = np.unique(own, return_inverse=True)
+    if len(doc) > 65535 or rows["start"].max() >> 32:
+        return b"\0" + _pack(rows)
+    head = len(rows).to_bytes(8, "little") + len(doc).to_bytes(8, "little") + doc.tobytes()
+    return b"\1" + head + rows["key"].tobytes() + rows["code"].tobytes() + at.astype("<u2").tobytes() + rows["start"].astype("<u4").tobytes() + rows["size"].astype("u1").tobytes()
+
+
+def _unpack_runs(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"\0":
+        return _unpack(blob[1:], RUN)
+    n, docs = (int.from_bytes(blob[i : i + 8], "little") for i in (1, 9))
+    doc = np.frombuffer(blob, DOC, docs, 17)
+    out, at = np.zeros(n, RUN), 17 + 16 * docs
+    for name, kind in (("key", "<u8"), ("code", "<u8"), ("doc", "<u2"), ("start", "<u4"), ("size", "u1")):
+        column = np.frombuffer(blob, kind, n, at)
+        at += n * column.itemsize
+        if name == "doc":
+            out["id"], out["tag"] = doc["id"][column], doc["tag"][column]
+        else:
+            out[name] = column
+    return out
+
+
 def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
     n = len(blob) // kind.itemsize
     out, at = np.zeros(n, kind), 0
@@ -67,6 +96,18 @@ def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def _frame(batch: pa.RecordBatch) -> bytes:
+    """Rows as a compressed Arrow stream: texts of one bucket compress far better together."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unframe(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in rows["blob"].to_pylist()])
+
+
 def _gather(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[_unpack(b, kind) for b in blobs]])
 
@@ -91,7 +132,7 @@ def _dealt(rows: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[tuple[in
     rows, bucket = rows[order], bucket[order]
     first = np.flatnonzero(_changed(bucket))
     for a, b in zip(first, [*first[1:], len(rows)], strict=True):
-        yield int(bucket[a]), kind, _pack(rows[a:b])
+        yield int(bucket[a]), kind, (_pack_runs if kind == RUNS else _pack)(rows[a:b])
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -223,7 +264,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for k, x in zip(kind, blob, strict=True):
                 if k in (RUNS, MARKS):
                     held[k].append(x)
-        runs = _gather(held[RUNS], RUN)
+        runs = np.concatenate([np.zeros(0, RUN), *map(_unpack_runs, held[RUNS])])
         marks = np.unique(np.frombuffer(b"".join(held[MARKS]), np.uint64))
         held.clear()
         runs, fresh, unlike = split_runs(runs)
@@ -241,17 +282,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.zeros(batch.num_rows, SPAN)
-            rows["id"], rows["tag"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_document_bucket(rows, buckets)), *batch.columns], ["bucket", *names])
-
-    names = base.columns
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
-    placed = base.mapInArrow(place, f"bucket int, {kinds}")
+            rows["id"], rows["tag"] = batch["id"].to_numpy(), batch["tag"].to_numpy()
+            bucket = _document_bucket(rows, buckets)
+            order = np.argsort(bucket, kind="stable")
+            batch, bucket = batch.take(pa.array(order)), bucket[order]
+            first = np.flatnonzero(_changed(bucket)).tolist()
+            yield _batch([(int(bucket[a]), TEXTS, _frame(batch.slice(a, b - a))) for a, b in zip(first, [*first[1:], len(bucket)], strict=False)])
 
     def fetch(key: tuple, docs_: pa.Table, blobs: pa.Table) -> pa.Table:
-        wants = _gather(blobs["blob"].to_pylist(), WANT)
         out: list[tuple[int, int, bytes]] = []
-        if len(wants):
+        if blobs.num_rows and docs_.num_rows:
+            docs_ = _unframe(docs_)
+            wants = _gather(blobs["blob"].to_pylist(), WANT)
             raw, offsets = utf8(docs_["text"])
             at = _rows_of(wants, docs_)
             begin = offsets[at] + wants["start"]
@@ -292,12 +334,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for gone in sort_blocks(np.concatenate(wants), np.concatenate(texts)):
                 yield _batch([*_dealt(gone, _document_bucket(gone, buckets), SPANS)])
 
+    bare = base.select("id", "tag", "text")
+    whole, bare_docs = base.mapInArrow(place, PACKED), bare.mapInArrow(place, PACKED)
     asked = first.where(f"kind = {WANTS}")
-    strings = placed.select("bucket", "id", "tag", "text").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fetch, PACKED)
+    strings = bare_docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fetch, PACKED)
     second = strings.repartition(tasks, "bucket").mapInArrow(compare, PACKED)
     spans = first.where(f"kind = {SPANS}").unionByName(second)
 
     def finish(key: tuple, docs_: pa.Table, blobs: pa.Table) -> pa.Table:
+        if not docs_.num_rows:
+            return empty
+        docs_ = _unframe(docs_)
         gone = _united(_gather(blobs["blob"].to_pylist(), SPAN))
         raw, offsets = utf8(docs_["text"])
         ids, tags = docs_["id"].to_numpy(), docs_["tag"].to_numpy()
@@ -330,10 +377,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table(columns, names=result)
 
     result = ["own_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", "spans"] * text_out + [f"k{i}" for i in range(len(keep))]
+    empty = pa.table({c: pa.array([], pa.null()) for c in result})
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"own_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start:long,size:long>>" * text_out
     schema += "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = placed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
+    out = whole.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
     return out.withColumnsRenamed({"own_id": id_col, **{f"k{i}": c for i, c in enumerate(keep)}})
 
 
