@@ -21,11 +21,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .bpe_core import Memo, Vocabulary
-from .common import bounded_batches, text_groups
+from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups
 
 #: The pre-token pattern of the word tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -128,6 +129,26 @@ class WordCodec:
         get = self.words.young.__getitem__
         return [b"".join(map(get, row)) for row in cut]
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, flat, and the number of ids of each; distinct words are looked up once."""
+        plain = [self.normalize(text) for text in texts]
+        if any(CONTROL_SPACE.search(text) for text in plain) or any(m in text for text in texts for m in self.marks):
+            codes = self.encode(texts)
+            return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        rows = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+        units = rows.flatten().dictionary_encode()
+        words = units.dictionary.to_pylist()
+        self._learn({w for w in words if w})
+        codes = [self.words.young[w] if w else b"" for w in words]
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        known = np.frombuffer(b"".join(codes), "<u4")
+        at = units.indices.to_numpy()
+        each = size[at]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        ids = known[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], each) + np.arange(upto[-1])]
+        ends = upto[rows.offsets.to_numpy() - rows.offsets[0].as_py()]
+        return ids, np.diff(ends)
+
     def decode(self, ids: bytes) -> str:
         """The token texts, joined by blanks: the file names no decoder."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -141,22 +162,23 @@ def codec_for(path: str) -> WordCodec:
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids array<int>, decoded string); with `digests` SHA-256 of ids and text instead of the values."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, GROUP_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for start, end in text_groups(text):
-                coded = codec.encode(text.slice(start, end - start).to_pylist())
+            for start, end in text_groups(text, GROUP_BYTES):
+                flat, size = codec.encode_flat(text.slice(start, end - start).to_pylist())
+                blob, upto = flat.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(4 * size))).tolist()
+                coded = [blob[a:b] for a, b in zip(upto, upto[1:], strict=False)]
                 plain = [codec.decode(c) for c in coded]
-                counts = pa.array([len(c) // 4 for c in coded], pa.int64())
+                counts = pa.array(size)
                 if digests:
                     values = [pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(p.encode()).hexdigest() for p in plain], pa.string())]
                 else:
-                    offsets = pa.array(np.concatenate(([0], np.cumsum(counts.to_numpy()))).astype(np.int32))
-                    flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
-                    values = [pa.ListArray.from_arrays(offsets, flat), pa.array(plain, pa.string())]
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+                    values = [pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32))), pa.array(plain, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), counts, *values], ["id", "n_tokens", *names])
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]

@@ -19,6 +19,9 @@ from ..session import workers_find_package
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: For operators that look up a group's distinct words: larger groups hold fewer of them.
+GROUP_ROWS = 4000
+GROUP_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe_core import Memo, Vocabulary
-from .common import bounded_batches, text_groups
+from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups
 
 #: The pre-token pattern of the byte-level tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,32 +59,40 @@ class TokenCounter:
             memo.young.update(zip(part, self._count([cut(x) for x in part]), strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
-        fast: list[list[str]] = []
-        slow: list[list[str]] = []
-        base = []
         find = self.pattern.findall
-        for text in texts:
-            extra, parts = 0, [text]
+        n = len(texts)
+        total = np.zeros(n, np.int64)
+        easy, slow, owner = [], [], []  # texts to cut at blanks; pre-tokens of the others and whose they are
+        for i, text in enumerate(texts):
+            parts = [text]
             if self.special and any(m in text for m in self.marks):
                 parts = self.special.split(text)
-                extra = len(parts) - 1
-            units, rest = [], []
+                total[i] += len(parts) - 1
+            if len(parts) == 1 and not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or ODD_SPACE.search(text)):
+                first, blank, rest = text.partition(" ")
+                if blank:
+                    easy.append((i, rest))
+                parts = [first]
             for part in parts:
-                if not part:
-                    continue
-                if "  " in part or "\n " in part or " \n" in part or part[0] == " " or part[-1] == " " or ODD_SPACE.search(part):
-                    rest += find(part)
-                    continue
-                cut = part.split(" ")
-                rest += find(cut[0])
-                units = units + cut[1:] if units else cut[1:]
-            base.append(extra)
-            fast.append(units)
-            slow.append(rest)
-        self._learn(self.spaced, set().union(*fast), lambda x: find(" " + x))
-        self._learn(self.plain, set().union(*slow), lambda x: [x])
-        spaced, plain = self.spaced.young.__getitem__, self.plain.young.__getitem__
-        return [b + sum(map(spaced, f)) + sum(map(plain, s)) for b, f, s in zip(base, fast, slow, strict=True)]
+                found = find(part) if part else []
+                slow += found
+                owner += [i] * len(found)
+        if easy:
+            rows = pc.split_pattern(pa.array([rest for _, rest in easy], pa.large_string()), " ")
+            units = rows.flatten().dictionary_encode()
+            size = self._sizes(self.spaced, units.dictionary.to_pylist(), lambda x: find(" " + x))
+            upto = np.concatenate(([0], np.cumsum(size[units.indices.to_numpy()])))
+            total[[i for i, _ in easy]] += np.diff(upto[rows.offsets.to_numpy() - rows.offsets[0].as_py()])
+        if slow:
+            words = list(dict.fromkeys(slow))
+            place = {w: k for k, w in enumerate(words)}
+            size = self._sizes(self.plain, words, lambda x: [x])
+            np.add.at(total, owner, size[[place[w] for w in slow]])
+        return total.tolist()
+
+    def _sizes(self, memo: Memo, units: list[str], cut) -> np.ndarray:
+        self._learn(memo, set(units), cut)
+        return np.fromiter(map(memo.young.__getitem__, units), np.int64, len(units))
 
 
 @lru_cache(2)
@@ -95,14 +103,14 @@ def counter_for(path: str) -> TokenCounter:
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Adds byte and token counts: (id, n_bytes, n_tokens, over_limit)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, GROUP_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
             n_tokens: list[int] = []
-            for start, end in text_groups(text):
+            for start, end in text_groups(text, GROUP_BYTES):
                 n_tokens += counter.count(text.slice(start, end - start).to_pylist())
             tokens = pa.array(n_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_codec import WordCodec
-from .common import bounded_batches, checkpointed, partitions_for, scratch_path, text_groups
+from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, checkpointed, partitions_for, scratch_path, text_groups
 
 MAGIC = b"TWDAC01\n"
 FILE_TOKENS = 8 << 20
@@ -46,6 +46,7 @@ class LibraryCodec(WordCodec):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = True  # their strings were cut out before lower-casing
 
     def _learn(self, units: set[str]) -> None:
         new = self.words.ready(units)
@@ -168,33 +169,35 @@ def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and writes; returns the files as (file, shard, n_docs, n_tokens), written once."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, GROUP_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, task = codec_for(tokenizer), TaskContext.get()
         store, folder = _store(path)
         ids: list = []
-        parts: list[bytes] = []
-        end, held, serial = np.array([end_id], "<u4").tobytes(), 0, 0
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held, serial = 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, parts, held, serial
+            nonlocal ids, parts, sizes, held, serial
             name = f"{folder}/{task.partitionId():08d}-{serial:06d}.dac"
-            offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as f:
-                f.write(file_bytes(ids, np.frombuffer(b"".join(parts), "<u4"), offsets))
+                f.write(file_bytes(ids, np.concatenate(parts), offsets))
             store.move(f"{name}.{task.taskAttemptId()}", name)
             row = pa.RecordBatch.from_pydict({"file": [name], "shard": [task.partitionId() << 24 | serial], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
-            ids, parts, held, serial = [], [], 0, serial + 1
+            ids, parts, sizes, held, serial = [], [], [], 0, serial + 1
             return row
 
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for start, stop in text_groups(text):
-                coded = codec.encode(text.slice(start, stop - start).to_pylist())
+            for start, stop in text_groups(text, GROUP_BYTES):
+                flat, size = codec.encode_flat(text.slice(start, stop - start).to_pylist())
                 ids += batch.column(0).slice(start, stop - start).to_pylist()
-                parts += [c + end for c in coded]
-                held += sum(map(len, coded)) // 4 + len(coded)
+                parts.append(np.insert(flat, np.cumsum(size), end_id))
+                sizes.append(size + 1)
+                held += len(parts[-1])
                 if held >= FILE_TOKENS:
                     yield flush()
         if ids:
