@@ -38,14 +38,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpointed, mix, partitions_for, utf8
 from .suffix_order import repeated
-from .words import BACK, BASE
+from .words import _powers
 
 LENGTH = 100
 ANCHOR = 40
-PIECE = 1 << 21
+PIECE = 1 << 18
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 MANY_HERE = 4
 MANY = 1000
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 RUN = np.dtype([("key", "<u8"), ("code", "<u8"), ("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("size", "<i2")])
 SPAN = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("size", "<i8")])
 DOC = np.dtype([("id", "<i8"), ("tag", "<i8")])
@@ -157,15 +158,12 @@ def _united(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial over the bytes, and the powers to read substrings with."""
-    n = len(raw)
-    up, down = np.full(n + 1, BASE), np.full(n + 1, BACK)
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    value = mix(np.arange(1, 257, dtype=np.uint64))[raw]
-    upto = np.concatenate(([np.uint64(0)], np.cumsum(value * up[:n], dtype=np.uint64)))
-    return upto, down, up
+def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial over the bytes, and the factors to read substrings with."""
+    up, down = _powers(1 << max(20, len(raw).bit_length()))
+    value = _VALUES[raw]
+    value *= up[: len(raw)]
+    return np.concatenate(([np.uint64(0)], np.cumsum(value, dtype=np.uint64))), down[: len(raw) + 1]
 
 
 def find_runs(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,7 +172,7 @@ def find_runs(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     for base in range(0, max(0, len(raw) - LENGTH + 1), PIECE):
         part = raw[base : base + PIECE + LENGTH - 1]
         n = len(part) - LENGTH + 1
-        upto, down, _ = _hashes(part)
+        upto, down = _hashes(part)
         anchor = mix((upto[ANCHOR:] - upto[:-ANCHOR]) * down[: len(part) - ANCHOR + 1])
         low = anchor & ~np.uint64((1 << 22) - 1) | np.arange(len(anchor), dtype=np.uint64)
         span = 1
@@ -239,20 +237,22 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             raw, offsets = utf8(batch.column(2))
+            pieces = [np.zeros(0, RUN)]
             for row, start, size, anchor, code in find_runs(raw, offsets):
                 runs = np.zeros(len(row), RUN)
                 runs["id"], runs["tag"], runs["start"], runs["size"], runs["key"], runs["code"] = ids[row], tags[row], start, size, anchor, code
-                runs, fresh, unlike = split_runs(runs)
-                twin = ~_changed(runs["key"], runs["code"], runs["id"], runs["tag"], runs["start"])  # a row that repeats id and text
-                gone = _united(_spans(runs[~fresh & ~twin]))
-                many = unlike >= MANY_HERE
-                wants = _wants(runs[fresh & many], True)
-                marks = np.unique(runs["key"][many])
-                runs = runs[fresh & ~many]
-                out = [*_dealt(runs, (runs["key"] % np.uint64(buckets)).astype(np.int32), RUNS)]
-                out += [*_dealt(gone, _document_bucket(gone, buckets), SPANS), *_dealt(wants, _document_bucket(wants, buckets), WANTS)]
-                out += [(b, MARKS, x) for b, _, x in _dealt(marks.view([("key", "<u8")]), (marks % np.uint64(buckets)).astype(np.int32), MARKS)]
-                yield _batch(out)
+                pieces.append(runs)
+            runs, fresh, unlike = split_runs(np.concatenate(pieces))
+            twin = ~_changed(runs["key"], runs["code"], runs["id"], runs["tag"], runs["start"])  # a row that repeats id and text
+            gone = _united(_spans(runs[~fresh & ~twin]))
+            many = unlike >= MANY_HERE
+            wants = _wants(runs[fresh & many], True)
+            marks = np.unique(runs["key"][many])
+            runs = runs[fresh & ~many]
+            out = [*_dealt(runs, (runs["key"] % np.uint64(buckets)).astype(np.int32), RUNS)]
+            out += [*_dealt(gone, _document_bucket(gone, buckets), SPANS), *_dealt(wants, _document_bucket(wants, buckets), WANTS)]
+            out += [(b, MARKS, x) for b, _, x in _dealt(marks.view([("key", "<u8")]), (marks % np.uint64(buckets)).astype(np.int32), MARKS)]
+            yield _batch(out)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {k: [] for k in range(6)}
@@ -409,7 +409,7 @@ def _points(raw: np.ndarray, begin: np.ndarray, wants: np.ndarray, buckets: int)
         if len(inside):
             part = raw[c : c + PIECE + LENGTH]
             for name, salt in (("key", 0), ("code", 1)):
-                upto, down, _ = _hashes(part ^ np.uint8(0x5A * salt))
+                upto, down = _hashes(part ^ np.uint8(0x5A * salt))
                 i = at[inside] - c
                 whole = (upto[i + LENGTH] - upto[i]) * down[i]
                 half = (upto[i + LENGTH // 2] - upto[i]) * down[i]
