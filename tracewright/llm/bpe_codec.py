@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe_core import Memo, Vocabulary
-from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups
+from .common import bounded_batches, text_groups
 
 #: The pre-token pattern of the word tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,14 +38,14 @@ WHITE_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 class WordCodec:
     """Encodes and decodes as the library does for the word-end `.json` file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = 350_000):
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(PRE_TOKENS)
         self.inside = self.vocabulary.inside_pairs()
         self.marks = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")") if self.marks else None
         self.names = self.vocabulary.names()
-        self.words = Memo()
+        self.words = Memo(memo)
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -157,18 +157,18 @@ class WordCodec:
 @lru_cache(2)
 def codec_for(path: str) -> WordCodec:
     """One codec per worker process: its memo serves all tasks that the process runs."""
-    return WordCodec(path)
+    return WordCodec(path, 120_000)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids array<int>, decoded string); with `digests` SHA-256 of ids and text instead of the values."""
-    bounded_batches(docs.sparkSession, GROUP_ROWS)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for start, end in text_groups(text, GROUP_BYTES):
+            for start, end in text_groups(text):
                 flat, size = codec.encode_flat(text.slice(start, end - start).to_pylist())
                 blob, upto = flat.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(4 * size))).tolist()
                 coded = [blob[a:b] for a, b in zip(upto, upto[1:], strict=False)]

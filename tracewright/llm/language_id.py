@@ -71,13 +71,16 @@ class LanguageModel:
 
     def __init__(self, vectors: np.ndarray, labels: list[str], landmarks: int = 160, ridge: float = 0.1):
         self.labels = sorted(set(labels))
-        x = vectors.astype(np.float64)
-        x /= np.maximum(np.sqrt(x.sum(1, keepdims=True)), 1)
-        marks = x[:landmarks]
-        values, basis = np.linalg.eigh(marks @ marks.T)
-        keep = values > 1e-8 * values[-1]
+
+        def scaled(rows: np.ndarray) -> np.ndarray:
+            return rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True, dtype=np.float32), 1))
+
+        marks = scaled(vectors[:landmarks])
+        kernel = np.concatenate([scaled(vectors[i : i + 128]) @ marks.T for i in range(0, len(vectors), 128)]).astype(np.float64)
+        values, basis = np.linalg.eigh(kernel[: len(marks)])
+        keep = values > 1e-6 * values[-1]
         nystrom = basis[:, keep] / np.sqrt(values[keep])
-        z = np.hstack([(x @ marks.T) @ nystrom, np.ones((len(x), 1))])
+        z = np.hstack([kernel @ nystrom, np.ones((len(kernel), 1))])
         y = np.where(np.array(labels)[:, None] == np.array(self.labels)[None, :], 1.0, -1.0)
         size = y.shape[0] / (len(self.labels) * np.maximum((y > 0).sum(0), 1))
         weight = (y > 0) @ size  # every label counts alike
