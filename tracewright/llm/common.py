@@ -24,9 +24,14 @@ GROUP_ROWS = 4000
 GROUP_BYTES = 8 << 20
 
 
+#: Freed arrays go back to the system at once: idle workers would else hold the largest task's memory.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Caps the Arrow batches of the session at `rows` rows and 16 MB; unions don't take over partitionings."""
     workers_find_package(spark)
+    spark.sparkContext.environment.update(WORKER_MEMORY)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -227,7 +227,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     bounded_batches(spark)
     keep = keep or []
-    buckets = partitions_for(docs, 8)
+    buckets = partitions_for(docs, 4)
     tasks = partitions_for(docs, 16)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
     body = F.coalesce(F.col(text_col), F.lit(""))
