@@ -1,23 +1,18 @@
-"""All registered queries and their DuckDB equivalents, collected from the query modules."""
+"""All registered queries and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import registry
+from .functions import collection, conditional, dates, json_xml, maths, misc, strings  # noqa: F401
+from .operators import aggregates, graphs, joins, learning, projection, rdd_style, sets, sorting, statistics, udfs, windows  # noqa: F401
+from .plans import commands, debug_queries, provenance_queries  # noqa: F401
+from .sources import connectors  # noqa: F401
+from .streaming import queries as streaming_queries  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def agg_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return t.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
-
-
-def queries() -> dict[str, Query]:
-    return {"agg_pricing_summary": agg_pricing_summary}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"agg_pricing_summary": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY ALL"}
+    return dict(registry.ORACLES)
