@@ -71,7 +71,7 @@ def ml_survival(t: Tables) -> DataFrame:
     d = _line(t).withColumn("censor", F.lit(1.0)).withColumn("label", F.exp(F.col("l_quantity") / 50))
     d = M.VectorAssembler(inputCols=["l_quantity"], outputCol="f").transform(d.drop("features")).withColumnRenamed("f", "features")
     slope = regression.AFTSurvivalRegression(maxIter=20).fit(d).coefficients[0]
-    return t.spark.createDataFrame([(abs(slope - 0.02) < 0.005,)], "good boolean")
+    return t.spark.createDataFrame([(bool(abs(slope - 0.02) < 0.005),)], "good boolean")
 
 
 def _vectors(t: Tables) -> DataFrame:
@@ -116,7 +116,7 @@ def ml_als(t: Tables) -> DataFrame:
     return model.transform(d).agg((F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("rating"), 2))) < 2).alias("good"))
 
 
-@query("ml_text_features", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(text), '\\W+'), x -> length(x) >= 1))::DOUBLE AS n FROM conversations")
+@query("ml_text_features", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: length(x) >= 1))::DOUBLE AS n FROM conversations")
 def ml_text_features(t: Tables) -> DataFrame:
     tf = M.HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 12).transform(_words(t))
     return tf.select("conv_id", "turn", F.aggregate(vector_to_array("tf"), F.lit(0.0), lambda a, x: a + x).alias("n"))

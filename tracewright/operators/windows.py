@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..registry import both, query
 from ..sources.tables import Tables
 
-_BY_BRAND = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-
-
 @query("win_ranking", """SELECT p_partkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, round(percent_rank() OVER w, 8) AS pr, round(cume_dist() OVER w, 8) AS cd, ntile(4) OVER v AS q
 FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size), v AS (PARTITION BY p_brand ORDER BY p_size, p_partkey)""".replace("row_number() OVER w", "row_number() OVER v"))
 def win_ranking(t: Tables) -> DataFrame:
@@ -23,8 +20,9 @@ def win_ranking(t: Tables) -> DataFrame:
 
 @query("win_offset", "SELECT p_partkey, lag(p_size, 1, -1) OVER w AS before, lead(p_size, 2) OVER w AS after, first_value(p_size) OVER w AS first, last_value(p_size) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)")
 def win_offset(t: Tables) -> DataFrame:
-    whole = _BY_BRAND.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return t.part.select("p_partkey", F.lag("p_size", 1, -1).over(_BY_BRAND).alias("before"), F.lead("p_size", 2).over(_BY_BRAND).alias("after"), F.first("p_size").over(_BY_BRAND).alias("first"), F.last("p_size").over(whole).alias("last"))
+    w = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return t.part.select("p_partkey", F.lag("p_size", 1, -1).over(w).alias("before"), F.lead("p_size", 2).over(w).alias("after"), F.first("p_size").over(w).alias("first"), F.last("p_size").over(whole).alias("last"))
 
 
 @query("win_rows_frame", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 2) AS near, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM orders")
