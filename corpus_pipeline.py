@@ -18,11 +18,23 @@ from tracewright.llm.language_id import UNKNOWN, fit_language, identify_language
 from tracewright.llm.suffix_dedup import drop_repeats
 
 
+OWN = "own_"
+
+
+def apart(docs: DataFrame) -> DataFrame:
+    """The documents under names that no operator's output has."""
+    return docs.toDF(*[OWN + c for c in docs.columns])
+
+
+def back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(OWN + c).alias(c) for c in docs.columns])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; texts without a letter (`und`) go."""
-    columns = docs.columns
-    found = identify_language(docs, fit_language(docs), keep=[c for c in columns if c != "doc_id"])
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    own = apart(docs)
+    found = identify_language(own, fit_language(docs), id_col=OWN + "doc_id", text_col=OWN + "text", keep=[c for c in own.columns if c != OWN + "doc_id"])
+    return back(found.where(F.col("lang_pred") != UNKNOWN), docs)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +45,13 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that occurred before are cut out; a document that is left empty by this goes."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = drop_repeats(docs, keep=rest + ["text", "n_chars"], text_out=True)
+    own = apart(docs)
+    cut = drop_repeats(own, id_col=OWN + "doc_id", text_col=OWN + "text", keep=[c for c in own.columns if c != OWN + "doc_id"], text_out=True)
     changed = F.col("n_removed") > 0
     cut = cut.where(~changed | (F.length(F.trim("kept_text")) > 0))
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col(OWN + "text"))
+    chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(OWN + "n_chars"))
+    return back(cut.withColumns({OWN + "text": text, OWN + "n_chars": chars}), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ GROUP_ROWS = 4000
 GROUP_BYTES = 8 << 20
 
 
-#: Freed arrays go back to the system at once: idle workers would else hold the largest task's memory.
-WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Large freed arrays go back to the system: idle workers would else hold the largest task's memory.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "8388608", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
