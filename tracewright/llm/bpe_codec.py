@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-from .bpe_core import Memo, Vocabulary
+from .bpe_core import Characters, Memo, Vocabulary
 from .common import bounded_batches, text_groups
 
 #: The pre-token pattern of the word tokenizer.
@@ -46,6 +47,10 @@ class WordCodec:
         self.added = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")") if self.marks else None
         self.names = self.vocabulary.names()
         self.words = Memo(memo)
+        self.exact = Tokenizer.from_file(path)
+        self.exact.no_truncation()
+        self.exact.no_padding()
+        self.characters = Characters(self.exact, self.pattern)
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -109,6 +114,12 @@ class WordCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        strange = [i for i, text in enumerate(texts) if not self.characters.agreed(text)]
+        if strange:
+            out = self.encode(["" if i in set(strange) else text for i, text in enumerate(texts)])
+            for i in strange:
+                out[i] = np.array(self.exact.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            return out
         if self.added:
             marked = [i for i, text in enumerate(texts) if any(m in text for m in self.marks)]
             if marked:
@@ -132,7 +143,7 @@ class WordCodec:
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, flat, and the number of ids of each; distinct words are looked up once."""
         plain = [self.normalize(text) for text in texts]
-        if any(CONTROL_SPACE.search(text) for text in plain) or any(m in text for text in texts for m in self.marks):
+        if any(CONTROL_SPACE.search(text) for text in plain) or any(m in text for text in texts for m in self.marks) or not all(map(self.characters.agreed, texts)):
             codes = self.encode(texts)
             return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         rows = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))

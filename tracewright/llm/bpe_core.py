@@ -9,8 +9,11 @@ up again.  Sequences without a pair left leave the working set.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
+import regex
+from tokenizers import Tokenizer
 
 NO_RANK = np.int64(1 << 40)
 
@@ -140,6 +143,34 @@ class Vocabulary:
         return out[np.argsort(who, kind="stable")], counts
 
 
+class Characters:
+    """Which characters the pre-token pattern classes as the library does.
+
+    The two know different versions of Unicode; a text with a character that
+    they class differently is left to the library as a whole.
+    """
+
+    HIGH = re.compile(r"[^\x00-\u024f]")
+
+    def __init__(self, library: Tokenizer, pattern: regex.Pattern):
+        self.library, self.pattern = library, pattern
+        self.known: dict[str, bool] = {}
+
+    def _same(self, c: str) -> bool:
+        pre = self.library.pre_tokenizer.pre_tokenize_str
+        return all(len(pre(x)) == len(self.pattern.findall(x)) for x in ("!" + c, "a" + c, c + c))
+
+    def agreed(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        for c in set(self.HIGH.findall(text)):
+            if c not in self.known:
+                self.known[c] = self._same(c)
+            if not self.known[c]:
+                return False
+        return True
+
+
 class Memo:
     """A map of two generations: when the young one is full it becomes the old one, so memory stays bounded."""
 

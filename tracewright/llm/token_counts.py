@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-from .bpe_core import Memo, Vocabulary
+from .bpe_core import Characters, Memo, Vocabulary
 from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups
 
 #: The pre-token pattern of the byte-level tokenizer.
@@ -41,6 +42,10 @@ class TokenCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = special
         self.spaced, self.plain = Memo(), Memo()
+        self.exact = Tokenizer.from_file(path)
+        self.exact.no_truncation()
+        self.exact.no_padding()
+        self.characters = Characters(self.exact, self.pattern)
 
     def _count(self, units: list[list[str]]) -> list[int]:
         """Tokens of each unit, given as its pre-tokens."""
@@ -64,6 +69,9 @@ class TokenCounter:
         total = np.zeros(n, np.int64)
         easy, slow, owner = [], [], []  # texts to cut at blanks; pre-tokens of the others and whose they are
         for i, text in enumerate(texts):
+            if not self.characters.agreed(text):
+                total[i] = len(self.exact.encode(text, add_special_tokens=False).ids)
+                continue
             parts = [text]
             if self.special and any(m in text for m in self.marks):
                 parts = self.special.split(text)
