@@ -126,3 +126,25 @@ def rdd_broadcast_variable(t: Tables) -> DataFrame:
 def rdd_stat_counter(t: Tables) -> DataFrame:
     v = "value"
     return t.events.agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+@query("rdd_async_actions", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers")
+def rdd_async_actions(t: Tables) -> DataFrame:
+    """Independent actions run at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(t.orders.count), pool.submit(t.customer.count)
+        return t.spark.createDataFrame([(a.result(), b.result())], "orders long, customers long")
+
+
+@query("rdd_foreach_partition", "SELECT count(*) AS n FROM nation")
+def rdd_foreach_partition(t: Tables) -> DataFrame:
+    """A side effect per partition, counted by an accumulator."""
+    seen = t.spark.sparkContext.accumulator(0)
+
+    def count(rows) -> None:
+        seen.add(sum(1 for _ in rows))
+
+    t.nation.foreachPartition(count)
+    return t.spark.createDataFrame([(seen.value,)], "n long")

@@ -116,3 +116,16 @@ def cmd_explain(t: Tables) -> DataFrame:
     plan = t.lineitem.where("l_quantity > 49").select("l_orderkey", "l_quantity")._jdf.queryExecution().executedPlan().toString()
     pushed, pruned = "GreaterThan(l_quantity" in plan, "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     return t.spark.createDataFrame([(pushed, pruned)], "pushed boolean, pruned boolean")
+
+
+@query("cmd_add_and_list_files", "SELECT true AS listed")
+def cmd_add_and_list_files(t: Tables) -> DataFrame:
+    import os
+    import tempfile
+
+    path = os.path.join(tempfile.gettempdir(), "tracewright-note.txt")
+    with open(path, "w") as f:
+        f.write("note")
+    t.spark.sql(f"ADD FILE '{path}'")
+    found = [r[0] for r in t.spark.sql("LIST FILES").collect()]
+    return t.spark.createDataFrame([(any("tracewright-note" in x for x in found),)], "listed boolean")

@@ -183,3 +183,23 @@ def read_kafka(t: Tables, servers: str, topic: str, streaming: bool = True) -> D
     """A Kafka topic; needs the connector package on the class path."""
     reader = t.spark.readStream if streaming else t.spark.read
     return reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+
+
+@query("source_jdbc", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def source_jdbc(t: Tables) -> DataFrame:
+    """A table written to and read from a database in ranges of its key; the embedded database comes with Spark."""
+    name, options = f"tw_{uuid.uuid4().hex[:10]}", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = f"jdbc:derby:memory:{name};create=true"
+    t.nation.coalesce(1).write.jdbc(url, "nation", mode="overwrite", properties=options)
+    rows = t.spark.read.jdbc(url, "nation", column="n_nationkey", lowerBound=0, upperBound=25, numPartitions=2, properties=options)
+    return rows.toDF(*[c.lower() for c in rows.columns])
+
+
+@query("source_jdbc_predicates", "SELECT n_name FROM nation WHERE n_regionkey IN (1, 3)")
+def source_jdbc_predicates(t: Tables) -> DataFrame:
+    """One partition per predicate."""
+    name, options = f"tw_{uuid.uuid4().hex[:10]}", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = f"jdbc:derby:memory:{name};create=true"
+    t.nation.coalesce(1).write.jdbc(url, "nation", mode="overwrite", properties=options)
+    rows = t.spark.read.jdbc(url, "nation", predicates=['"n_regionkey" = 1', '"n_regionkey" = 3'], properties=options)
+    return rows.toDF(*[c.lower() for c in rows.columns]).select("n_name")

@@ -179,3 +179,74 @@ def stream_rate_source(t: Tables) -> DataFrame:
     return t.spark.read.schema(s.schema).parquet(path).agg((F.count("*") >= 0).alias("some"))
 
 
+
+
+@query("stream_console_and_foreach", "SELECT count(*) AS n FROM events WHERE value > 99")
+def stream_console_and_foreach(t: Tables) -> DataFrame:
+    """A row-wise sink with open, process and close; each partition of a batch leaves one file."""
+    path = folder(t, "foreach")
+    rows = t.spark.read.parquet(t.path("events")).where("value > 99")
+
+    class Keep:
+        def open(self, partition: int, epoch: int) -> bool:
+            import os
+
+            base = path.removeprefix("file://")
+            os.makedirs(base, exist_ok=True)
+            self.file = open(f"{base}/{epoch}-{partition}.txt", "w")  # noqa: SIM115  the engine closes it
+            return True
+
+        def process(self, row) -> None:
+            self.file.write(f"{row.event_id}\n")
+
+        def close(self, error) -> None:
+            self.file.close()
+
+    if rows.isEmpty():
+        return t.spark.createDataFrame([(0,)], "n long")
+    q = stream(t).where("value > 99").writeStream.foreach(Keep()).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.read.text(path).agg(F.count("*").alias("n"))
+
+
+@query("stream_listener", "SELECT true AS started, true AS ended, count(*) AS rows FROM events")
+def stream_listener(t: Tables) -> DataFrame:
+    import time
+
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    seen = {"started": False, "ended": False, "rows": 0}
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            seen["started"] = True
+
+        def onQueryProgress(self, event) -> None:
+            seen["rows"] += event.progress.numInputRows
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            seen["ended"] = True
+
+    listener = Listener()
+    t.spark.streams.addListener(listener)
+    try:
+        stream(t).writeStream.format("noop").option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):  # events arrive a moment later
+            if seen["ended"]:
+                break
+            time.sleep(0.1)
+    finally:
+        t.spark.streams.removeListener(listener)
+    return t.spark.createDataFrame([(seen["started"], seen["ended"], seen["rows"])], "started boolean, ended boolean, rows long")
+
+
+@query("stream_stream_join", "SELECT a.event_id AS click, b.event_id AS view FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts")
+def stream_stream_join(t: Tables) -> DataFrame:
+    """Two streams joined within an hour; the watermark is wide enough that no row is late."""
+    s = stream(t).withWatermark("ts", "60 days")
+    a = s.where("event_type = 'click'").select(F.col("event_id").alias("click"), F.col("user_id").alias("u"), F.col("ts").alias("at"))
+    b = stream(t).withWatermark("ts", "60 days").where("event_type = 'view'").select(F.col("event_id").alias("view"), "user_id", "ts")
+    return run(t, a.join(b, F.expr("u = user_id AND ts >= at - INTERVAL 1 HOUR AND ts <= at")).select("click", "view"), "append")
