@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .bpe_core import Characters, Memo, Vocabulary
-from .common import bounded_batches, text_groups
+from .common import bounded_batches, text_groups, tidy
 
 #: The pre-token pattern of the word tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -196,4 +196,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     kinds = ["string", "string"] if digests else ["array<int>", "string"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
-    return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

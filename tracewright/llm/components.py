@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, tidy
 
 ONE_TASK = 200_000
 BLOCK = 96
@@ -69,10 +69,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for all nodes of the edges (a long, b long); component is the smallest node."""
-    e = checkpointed(edges.select("a", "b").where("a <> b").mapInArrow(_stars, "a long, b long"))
+    e = checkpointed(edges.select("a", "b").where("a <> b").mapInArrow(tidy(_stars), "a long, b long"))
     n = e.count()
     if n <= one_task:
-        found = e.repartition(1).mapInArrow(_stars, "a long, b long")
+        found = e.repartition(1).mapInArrow(tidy(_stars), "a long, b long")
         return checkpointed(_with_roots(found))
     before = None
     while True:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, input_bytes, text_groups
+from .common import bounded_batches, input_bytes, text_groups, tidy
 from .words import BACK, BASE, Words
 
 SEED = 5
@@ -194,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
                         ["id", "item", "coverage", "n_tiles", "n_words", "tiles"],
                     )
 
-        part = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, item long, coverage double, n_tiles long, n_words long, tiles array<struct<item_word:long,doc_word:long,n_words:long>>")
+        part = docs.select(id_col, text_col).mapInArrow(tidy(run), f"id {kind}, item long, coverage double, n_tiles long, n_words long, tiles array<struct<item_word:long,doc_word:long,n_words:long>>")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -213,5 +213,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                         clean[start + row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

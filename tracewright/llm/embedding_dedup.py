@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, partitions_for
+from .common import bounded_batches, checkpointed, partitions_for, tidy
 from .components import connected_components, in_block_pairs
 
 BITS = 60
@@ -86,9 +86,9 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
             kept = t.slice(max(0, t.num_rows - window))
 
-    signed = classes.select("rep", "label", "width", "v").mapInArrow(sign, "turn int, label string, width int, bits long, rep long, v array<double>")
+    signed = classes.select("rep", "label", "width", "v").mapInArrow(tidy(sign), "turn int, label string, width int, bits long, rep long, v array<double>")
     order = ["turn", "label", "width", "bits", "rep"]
-    edges = signed.repartitionByRange(partitions_for(vectors, 4), *order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long")
+    edges = signed.repartitionByRange(partitions_for(vectors, 4), *order).sortWithinPartitions(*order).mapInArrow(tidy(compare), "a long, b long")
     groups = connected_components(edges)
 
     def count(t: pa.Table) -> pa.Table:

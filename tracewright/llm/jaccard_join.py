@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, mix, partitions_for, text_groups
+from .common import bounded_batches, checkpointed, mix, partitions_for, text_groups, tidy
 from .components import connected_components, in_block_pairs, label_components
 from .words import Words
 
@@ -113,7 +113,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
                 rows = sketches(row, code, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), h1, h2, pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "h1", "h2", "sketch"])
 
-    sets = checkpointed(base.mapInArrow(sketch, "id long, h1 long, h2 long, sketch binary"))
+    sets = checkpointed(base.mapInArrow(tidy(sketch), "id long, h1 long, h2 long, sketch binary"))
     classes = sets.where("id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
     runs = runs_for(recall, threshold)
@@ -133,7 +133,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
         return run
 
     short = "rep long, node long"
-    paths = classes.select("rep", "sketch").mapInArrow(walk(DEPTH, True), short)
+    paths = classes.select("rep", "sketch").mapInArrow(tidy(walk(DEPTH, True)), short)
     ready = None
     for turn in range(DEEPER + 1):
         paths = checkpointed(paths)
@@ -144,7 +144,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
         large = checkpointed(paths.join(size.where(f"not ({most})").select("node"), "node", "left_semi"))
         if large.isEmpty():
             break
-        paths = large.join(classes.select("rep", "sketch"), "rep").select("rep", "sketch", "node").mapInArrow(walk(1, False), short)
+        paths = large.join(classes.select("rep", "sketch"), "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1, False)), short)
 
     least = threshold - 4.0 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
 
@@ -179,7 +179,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, n) for i in range(3)], packed], ["component", "node", "copies", "codes"])
 
     known = groups.join(classes.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node")
-    members = known.join(base, F.col("node") == F.col("id")).select("component", "node", "copies", "text").mapInArrow(shingled, "component long, node long, copies long, codes binary")
+    members = known.join(base, F.col("node") == F.col("id")).select("component", "node", "copies", "text").mapInArrow(tidy(shingled), "component long, node long, copies long, codes binary")
 
     def exact(t: pa.Table) -> pa.Table:
         own, rep, copies = t["own"].to_numpy(), t["node"].to_numpy(), t["copies"].to_numpy()

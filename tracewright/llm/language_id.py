@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, utf8
+from .common import bounded_batches, slices, tidy, utf8
 
 DIMENSIONS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -120,7 +120,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             bits = [np.packbits(row).tobytes() for _, _, m in text_presence(batch.column(3)) for row in m]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bits, pa.binary())], ["lang", "rn", "h", "bits"])
 
-    rows = texts.select("lang", "rn", "h", "text").mapInArrow(vectors, "lang string, rn int, h long, bits binary").collect()
+    rows = texts.select("lang", "rn", "h", "text").mapInArrow(tidy(vectors), "lang string, rn int, h long, bits binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.rn, r.lang, r.h, r.bits))
@@ -151,5 +151,5 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, id_col: str
     kinds = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), held_out(id_col, folds, fold), F.col(text_col), *[F.col(c) for c in keep])
-    out = out.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double{kinds}")
+    out = out.mapInArrow(tidy(run), f"id {kind}, held_out boolean, lang_pred string, score double{kinds}")
     return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

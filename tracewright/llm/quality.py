@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_groups, utf8
+from .common import bounded_batches, text_groups, tidy, utf8
 from .words import Words
 
 SALTS = 64
@@ -174,7 +174,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 blobs = [pa.array([r.tobytes() for r in v], pa.binary()) for v in views]
                 yield pa.RecordBatch.from_arrays([batch.column(5).slice(start, end - start), batch.column(6).slice(start, end - start), *blobs], ["y", "h", "a", "b"])
 
-    found = sorted(rows.mapInArrow(run, "y int, h long, a binary, b binary").collect(), key=lambda r: (r.h, r.a))
+    found = sorted(rows.mapInArrow(tidy(run), "y int, h long, a binary, b binary").collect(), key=lambda r: (r.h, r.a))
     labelled, free = [r for r in found if r.y >= 0], [r for r in found if r.y < 0]
     if len({r.y for i, r in enumerate(labelled) if i % 3}) < 2 or len({r.y for r in labelled[::3]}) < 2:
         return None
@@ -198,5 +198,5 @@ def score_quality(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *map(pa.array, shares), pa.array(shares[2] >= least)], ["id", "p_text", "p_meta", "score", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(*_columns(docs, id_col, text_col)).mapInArrow(run, f"id {kind}, p_text double, p_meta double, score double, kept boolean")
+    out = docs.select(*_columns(docs, id_col, text_col)).mapInArrow(tidy(run), f"id {kind}, p_text double, p_meta double, score double, kept boolean")
     return out.withColumnRenamed("id", id_col)

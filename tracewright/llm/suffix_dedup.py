@@ -36,7 +36,7 @@ import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, mix, partitions_for, utf8
+from .common import bounded_batches, checkpointed, mix, partitions_for, tidy, tidy_pair, utf8
 from .suffix_order import repeated
 from .words import _powers
 
@@ -275,8 +275,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         wants = _wants(runs[some], marked[some] | (unlike[some] > MANY))
         yield _batch([*_dealt(gone, _document_bucket(gone, buckets), SPANS), *_dealt(wants, _document_bucket(wants, buckets), WANTS)])
 
-    packed = base.select("id", "tag", "text").mapInArrow(anchors, PACKED)
-    first = checkpointed(packed.repartition(tasks, "bucket").mapInArrow(resolve, PACKED))
+    packed = base.select("id", "tag", "text").mapInArrow(tidy(anchors), PACKED)
+    first = checkpointed(packed.repartition(tasks, "bucket").mapInArrow(tidy(resolve), PACKED))
 
     # documents are dealt by the same hash as their records
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +335,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield _batch([*_dealt(gone, _document_bucket(gone, buckets), SPANS)])
 
     bare = base.select("id", "tag", "text")
-    whole, bare_docs = base.mapInArrow(place, PACKED), bare.mapInArrow(place, PACKED)
+    whole, bare_docs = base.mapInArrow(tidy(place), PACKED), bare.mapInArrow(tidy(place), PACKED)
     asked = first.where(f"kind = {WANTS}")
-    strings = bare_docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(fetch, PACKED)
-    second = strings.repartition(tasks, "bucket").mapInArrow(compare, PACKED)
+    strings = bare_docs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(tidy_pair(fetch), PACKED)
+    second = strings.repartition(tasks, "bucket").mapInArrow(tidy(compare), PACKED)
     spans = first.where(f"kind = {SPANS}").unionByName(second)
 
     def finish(key: tuple, docs_: pa.Table, blobs: pa.Table) -> pa.Table:
@@ -381,7 +381,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"own_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, spans array<struct<start:long,size:long>>" * text_out
     schema += "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = whole.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(finish, schema)
+    out = whole.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(tidy_pair(finish), schema)
     return out.withColumnsRenamed({"own_id": id_col, **{f"k{i}": c for i, c in enumerate(keep)}})
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .bpe_core import Characters, Memo, Vocabulary
-from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups
+from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups, tidy
 
 #: The pre-token pattern of the byte-level tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -127,5 +127,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(id_col, text_col).mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe_codec import WordCodec
-from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, checkpointed, partitions_for, scratch_path, text_groups
+from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, checkpointed, partitions_for, scratch_path, text_groups, tidy
 
 MAGIC = b"TWDAC01\n"
 FILE_TOKENS = 8 << 20
@@ -208,7 +208,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = F.col("id").asc_nulls_last()
     rows = rows.repartitionByRange(partitions_for(docs, 24), order).sortWithinPartitions(order, F.xxhash64("text"))
-    return checkpointed(rows.mapInArrow(run, "file string, shard long, n_docs long, n_tokens long"))
+    return checkpointed(rows.mapInArrow(tidy(run), "file string, shard long, n_docs long, n_tokens long"))
 
 
 def read_tokens(spark: SparkSession, files: DataFrame, path: str, id_col: str = "doc_id", checks: bool = False) -> DataFrame:
@@ -236,7 +236,7 @@ def read_tokens(spark: SparkSession, files: DataFrame, path: str, id_col: str =
 
     n = max(1, files.count())
     kind = "long" if checks else "array<long>"
-    out = begun.repartition(n, "file").select("file", "start").mapInArrow(run, f"id long, start long, n_tokens long, last {kind}")
+    out = begun.repartition(n, "file").select("file", "start").mapInArrow(tidy(run), f"id long, start long, n_tokens long, last {kind}")
     return out.withColumnsRenamed({"id": id_col, "last": "ids_crc32" if checks else "ids"})
 
 
