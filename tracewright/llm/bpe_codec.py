@@ -168,7 +168,7 @@ class WordCodec:
 @lru_cache(2)
 def codec_for(path: str) -> WordCodec:
     """One codec per worker process: its memo serves all tasks that the process runs."""
-    return WordCodec(path, 120_000)
+    return WordCodec(path, 80_000)
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

@@ -69,7 +69,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for all nodes of the edges (a long, b long); component is the smallest node."""
-    e = checkpointed(edges.select("a", "b").where("a <> b").mapInArrow(tidy(_stars), "a long, b long"))
+    # dealt out first, so that no task runs the Python of the edges and that of the stars side by side
+    e = checkpointed(edges.select("a", "b").where("a <> b").repartition("a").mapInArrow(tidy(_stars), "a long, b long"))
     n = e.count()
     if n <= one_task:
         found = e.repartition(1).mapInArrow(tidy(_stars), "a long, b long")
