@@ -59,7 +59,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    sc._jvm.System.gc()  # lets the cleaner drop the shuffle files of what was cut off
+    return out
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
