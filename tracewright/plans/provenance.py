@@ -5,7 +5,7 @@ recorded steps that led to it.  Narrow steps pass ids through; a step that makes
 new records (explode, aggregation, join, union, distinct) also defines an edge
 table (out_id, in_id) per parent.  Edges are lazy projections of the traced
 input: they cost nothing until a cursor walks them, and Catalyst prunes them
-like any query.  Ids are exact values (keys as JSON), never hashes, so distinct
+like any query.  Ids are the key values (structs), never hashes, so distinct
 records never merge.
 """
 
@@ -23,8 +23,8 @@ RID = "__rid"
 
 
 def _id(*columns: Column | str) -> Column:
-    """A text id of key values; null is a value of its own."""
-    return F.to_json(F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns]), {"ignoreNullFields": "false"})
+    """The key values themselves as one struct; null is a value of its own."""
+    return F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns])
 
 
 @dataclass
@@ -152,13 +152,13 @@ class TracedFrame:
 
     def union(self, other: TracedFrame) -> TracedFrame:
         def tagged(d: DataFrame, branch: int) -> DataFrame:
-            return d.withColumn("__in", F.col(RID)).withColumn(RID, _id(F.lit(branch).alias("b"), F.col("__in").alias("r")))
+            return d.withColumn("__in", F.col(RID)).withColumn(RID, _id(F.lit(branch).alias("b"), F.to_json(_id(F.col("__in").alias("r"))).alias("r")))
 
         sides = [tagged(p.df, i) for i, p in enumerate((self, other))]
         edges = self._edges([(p, s.select(F.col(RID).alias("out_id"), F.col("__in").alias("in_id"))) for p, s in zip((self, other), sides, strict=True)])
 
         def step(p: list[DataFrame]) -> DataFrame:
-            return tagged(p[0], 0).unionByName(tagged(p[1], 1)).drop("__in")
+            return tagged(p[0], 0).drop("__in").unionByName(tagged(p[1], 1).drop("__in"))
 
         return TracedFrame(step([self.df, other.df]), "union", edges, self.capture, step, [self, other])
 

@@ -136,4 +136,4 @@ def prov_capture_off(t: Tables) -> DataFrame:
 @query("prov_id_filter", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 4)")
 def prov_id_filter(t: Tables) -> DataFrame:
     at = TracedFrame.source(t.nation.select("n_nationkey", "n_name"), ["n_nationkey"]).lineage()
-    return at.where_id(F.get_json_object("id", "$.n_nationkey").isin("3", "4")).show()
+    return at.where_id(F.col("id.n_nationkey").isin(3, 4)).show()
