@@ -45,11 +45,12 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that occurred before are cut out; a document that is left empty by this goes."""
-    own = apart(docs)
-    cut = drop_repeats(own, id_col=OWN + "doc_id", text_col=OWN + "text", keep=[c for c in own.columns if c != OWN + "doc_id"], text_out=True)
+    own = apart(docs).withColumn("null_text", F.col(OWN + "text").isNull())
+    rest = [c for c in own.columns if c not in (OWN + "doc_id", OWN + "text")]
+    cut = drop_repeats(own, id_col=OWN + "doc_id", text_col=OWN + "text", keep=rest, text_out=True)
     changed = F.col("n_removed") > 0
     cut = cut.where(~changed | (F.length(F.trim("kept_text")) > 0))
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col(OWN + "text"))
+    text = F.when(~F.col("null_text"), F.col("kept_text"))
     chars = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col(OWN + "n_chars"))
     return back(cut.withColumns({OWN + "text": text, OWN + "n_chars": chars}), docs)
 
