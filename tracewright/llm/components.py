@@ -19,6 +19,7 @@ from .common import checkpointed, tidy
 
 ONE_TASK = 200_000
 BLOCK = 96
+SALTS = 32
 
 
 def label_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +100,16 @@ def in_block_pairs(members: DataFrame, run: Callable[[pa.Table], pa.Table], sche
     """Runs `run` over all pairs of blocks of each component, so that no task holds a whole large one.
 
     `members` has component, node and a payload.  A component of m members is
-    dealt into ceil(m / block) blocks; a member goes once to each pair of blocks
-    that its own is part of.  `run` gets the rows of one pair with `own` (the
+    dealt into ceil(m / block) blocks (the sizes of large ones meet their members
+    in salted parts); a member goes once to each pair of blocks that its own is part of.  `run` gets the rows of one pair with `own` (the
     block of a row), `low` and `high`, and compares low with high (a block with
     itself where they are equal).
     """
-    size = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = members.join(size, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    large = members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = large.select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = members.withColumn("salt", salt).join(large, ["component", "salt"], "left").drop("salt").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other", "blocks")
     return rows.groupBy("component", "low", "high").applyInArrow(run, schema)
