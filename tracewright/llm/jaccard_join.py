@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, mix, partitions_for, text_groups, tidy
+from .common import bounded_batches, checkpointed, mix, text_groups, tidy
 from .components import connected_components, in_block_pairs, label_components
 from .words import Words
 

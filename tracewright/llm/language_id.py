@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, slices, tidy, utf8
+from .common import bounded_batches, tidy, utf8
 
 DIMENSIONS = 1 << 15
 LENGTHS = (1, 2, 3)
