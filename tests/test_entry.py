@@ -1,10 +1,12 @@
 """The driver's contract."""
 
+import os
 import subprocess
 import sys
 
 import __spark_entry__ as entry
-from conftest import ROOT
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry_runs(spark):
