@@ -1,7 +1,8 @@
 """Operator 10: n-gram Jaccard join by chosen paths.
 
 Documents are sets of five-word shingles.  A set's sketch has one sampled token
-for each of 128 coordinates (the smallest hash in each bin).  A run starts with
+for each of 128 coordinates (the smallest under a hash function of its own, so
+that the coordinates are independent for sets of any size).  A run starts with
 all sets in one node; at a node every coordinate is sampled with probability
 1 / (threshold * 128), and the sets of the node are split by their token at the
 sampled coordinates.  Two sets at the threshold share one child on average, so
@@ -39,24 +40,29 @@ DEPTH = 3
 LIMIT = 256
 DEEPER = 4
 BLOCK = 512
+#: Odd multipliers: a hash function of (well mixed) shingle codes for each coordinate.
+FACTORS = np.random.default_rng(10).integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def sketches(row: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
-    """Per row the smallest hash of each bin, 16 bits of it; an empty bin borrows from the next filled one."""
-    out = np.zeros((n, COORDINATES), np.uint64)
-    filled = np.zeros((n, COORDINATES), bool)
-    bins = (code >> np.uint64(57)).astype(np.int64)
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (bins[1:] != bins[:-1])
-    out[row[first], bins[first]] = code[first]
-    filled[row[first], bins[first]] = True
-    # distance to the next filled bin, cyclic
-    place = np.where(np.hstack([filled, filled]), np.arange(2 * COORDINATES), 4 * COORDINATES)
-    following = np.minimum.accumulate(place[:, ::-1], 1)[:, ::-1][:, :COORDINATES]
-    ahead = following - np.arange(COORDINATES)
-    some = filled.any(1)
-    values = np.take_along_axis(out, np.where(some[:, None], following % COORDINATES, 0), 1)
-    return (mix(values + (ahead.astype(np.uint64) << np.uint64(3))) >> np.uint64(48)).astype(np.uint16)
+    """Per row the smallest hash of each of the independent hash functions, 16 bits of it; zeros for a row without shingles."""
+    out = np.zeros((n, COORDINATES), np.uint16)
+    some, first = np.unique(row, return_index=True)
+    if len(some):
+        code = mix(code)
+        for c in range(COORDINATES):
+            out[some, c] = mix(np.minimum.reduceat(code * FACTORS[c], first)) >> np.uint64(48)
+    return out
+
+
+def agreement(threshold: float) -> np.ndarray:
+    """Chance that a pair of the threshold similarity agrees in 0, 1, ... all coordinates."""
+    return np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+
+
+def least_agreement(recall: float, threshold: float) -> int:
+    """Coordinates in which a candidate agrees at least; below lies at most a tenth of the misses allowed at the threshold."""
+    return int(np.searchsorted(np.cumsum(agreement(threshold)), (1.0 - recall) / 10, "right"))
 
 
 def survival(depth: int, threshold: float) -> float:
@@ -146,14 +152,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
             break
         paths = large.join(classes.select("rep", "sketch"), "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1, False)), short)
 
-    least = threshold - 4.0 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    least = least_agreement(recall, threshold)
 
     def candidates(t: pa.Table) -> pa.Table:
         own, rep, rows = t["own"].to_numpy(), t["node"].to_numpy(), _unpack(t["sketch"])
         low, high = np.flatnonzero(own == t["low"][0].as_py()), np.flatnonzero(own == t["high"][0].as_py())
         a, b = [], []
         for i in low:
-            near = high[(rows[high] == rows[i]).mean(1) >= least]
+            near = high[(rows[high] == rows[i]).sum(1) >= least]
             a.append(np.full(len(near), rep[i]))
             b.append(rep[near])
         a, b = np.concatenate(a), np.concatenate(b)
