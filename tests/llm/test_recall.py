@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tracewright.llm.jaccard_join import jaccard_join
+from tracewright.llm import jaccard_join
 
 
 def word_maker(prefix):
@@ -27,5 +27,15 @@ def test_jaccard_pairs_of_short_texts(spark):
         for _ in range(200):
             w = words(union + 4)
             rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: union * 4 // 5 + 4]))]
-    found = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert lost(found, [(i, i + 1) for i in range(0, len(rows), 2)]) <= 2
+
+
+def test_jaccard_pairs_that_meet_in_large_nodes_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIMIT", 1)  # every node counts as large
+    words, rows = word_maker("d"), []
+    for _ in range(2000):
+        w = words(54)
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:44]))]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert lost(found, [(i, i + 1) for i in range(0, len(rows), 2)]) <= 4

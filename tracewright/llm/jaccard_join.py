@@ -7,9 +7,10 @@ all sets in one node; at a node every coordinate is sampled with probability
 1 / (threshold * 128), and the sets of the node are split by their token at the
 sampled coordinates.  Two sets at the threshold share one child on average, so
 the path process stays critical, while dissimilar sets part quickly.  Runs are
-repeated until their number gives the target recall at the threshold.  Nodes
-that are still large are split further, nodes of one set end, the others are
-compared by brute force: first on the sketches, which makes candidate groups,
+repeated until their number gives the target recall at the threshold.  The sets
+of nodes that are still large then go through further runs of their own, to more
+levels and as many as these take for the same recall; nodes of one set end, the
+others are compared by brute force: first on the sketches, which makes candidate groups,
 then exactly on the shingle sets inside each group.
 
 Equal sets are one class with a multiplicity; copies are neither split nor
@@ -75,7 +76,36 @@ def survival(depth: int, threshold: float) -> float:
 
 
 def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1.0 - recall) / math.log(1.0 - survival(depth, threshold)))
+    """Runs so that a pair of the threshold similarity is missed in all of them with half of the allowed chance.
+
+    The sketches are the same in all runs, so the chance is taken over the coordinates in which a pair agrees.
+    """
+    agreeing, chance = np.arange(COORDINATES + 1), agreement(threshold)
+    below = np.ones(COORDINATES + 1)
+    for _ in range(depth - 1):
+        below = 1.0 - (1.0 - below / (threshold * COORDINATES)) ** agreeing
+    missed = np.ones(COORDINATES + 1)
+    seen, runs = agreeing >= least_agreement(recall, threshold), 0
+    while chance @ np.where(seen, missed, 1.0) > (1.0 - recall) / 2:
+        missed *= (1.0 - agreeing / COORDINATES * below) ** len(root_coordinates(runs, threshold))
+        runs += 1
+    return runs
+
+
+def root_coordinates(run: int, threshold: float) -> range:
+    """The coordinates that a run samples at its root: 1 / threshold of them on average, at least one, and other ones than the runs before."""
+    return range(int(run / threshold), int((run + 1) / threshold))
+
+
+def depart(sketch: np.ndarray, runs: range, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The children of the runs' roots, that hold all sets: (index of the set, node)."""
+    index, node = [], []
+    for run in runs:
+        for c in (at % COORDINATES for at in root_coordinates(run, threshold)):
+            token = sketch[:, c].astype(np.uint64) | np.uint64(c << 16 | 1 << 40)
+            index.append(np.arange(len(sketch)))
+            node.append(mix(mix(np.full(len(sketch), run + 1, np.uint64)) ^ mix(token)))
+    return np.concatenate(index), np.concatenate(node)
 
 
 def descend(node: np.ndarray, sketch: np.ndarray, index: np.ndarray, threshold: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +152,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     sets = checkpointed(base.mapInArrow(tidy(sketch), "id long, h1 long, h2 long, sketch binary"))
     classes = sets.where("id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes)
-    runs = runs_for(recall, threshold)
+    runs, more = runs_for(recall, threshold), runs_for(recall, threshold, DEPTH + DEEPER)
 
-    def walk(levels: int, root: bool):
+    def walk(levels: int, roots: range | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rep, rows = batch.column(0).to_numpy(), _unpack(batch.column(1))
-                if root:
-                    index = np.tile(np.arange(len(rep)), runs)
-                    node = np.repeat(mix(np.arange(1, runs + 1, dtype=np.uint64)), len(rep))
+                if roots is not None:
+                    index, node = depart(rows, roots, threshold)
                 else:
                     index, node = np.arange(len(rep)), batch.column(2).to_numpy().view(np.uint64)
                 index, node = descend(node, rows, index, threshold, levels)
@@ -138,19 +167,24 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
 
         return run
 
-    short = "rep long, node long"
-    paths = classes.select("rep", "sketch").mapInArrow(tidy(walk(DEPTH, True)), short)
-    ready = None
-    for turn in range(DEEPER + 1):
-        paths = checkpointed(paths)
+    def part(paths: DataFrame, small: str) -> tuple[DataFrame, DataFrame]:
+        """The paths into nodes of several sets: those to be compared, and the others."""
         size = paths.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        most = "n > 1" if turn == DEEPER else f"n <= {LIMIT}"
-        done = paths.join(size.where(most).select("node"), "node", "left_semi")
-        ready = done if ready is None else ready.unionByName(done)
-        large = checkpointed(paths.join(size.where(f"not ({most})").select("node"), "node", "left_semi"))
-        if large.isEmpty():
-            break
-        paths = large.join(classes.select("rep", "sketch"), "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1, False)), short)
+        done, large = (paths.join(size.where(which).select("node"), "node", "left_semi") for which in (small, f"not ({small})"))
+        return done, checkpointed(large)
+
+    short = "rep long, node long"
+    ready, large = part(checkpointed(classes.select("rep", "sketch").mapInArrow(tidy(walk(DEPTH - 1, range(runs))), short)), f"n <= {LIMIT}")
+    if not large.isEmpty():
+        # a pair that met in large nodes only is found by runs of the sets of such nodes alone, as many as the greater depth takes
+        dense = classes.select("rep", "sketch").join(large.select("rep").distinct(), "rep", "left_semi")
+        paths = dense.mapInArrow(tidy(walk(DEPTH - 1, range(runs, runs + more))), short)
+        for turn in range(DEEPER + 1):
+            done, large = part(checkpointed(paths), "n > 1" if turn == DEEPER else f"n <= {LIMIT}")
+            ready = ready.unionByName(done)
+            if large.isEmpty():
+                break
+            paths = large.join(classes.select("rep", "sketch"), "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1)), short)
 
     least = least_agreement(recall, threshold)
 
