@@ -7,14 +7,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tracewright.llm import queries
+from tracewright.llm import bpe_core, queries
 from tracewright.llm.bpe_codec import WordCodec
+from tracewright.llm.bpe_core import WordTable
 from tracewright.llm.components import connected_components, label_components
 from tracewright.llm.decontamination import tiles
 from tracewright.llm.jaccard_join import runs_for, survival
@@ -161,10 +163,29 @@ def test_any_text_is_tokenized_as_the_libraries_do(text):
     for codec in word[1:]:
         flat, size = codec.encode_flat([text, "x", text])
         assert flat.tolist() == ids + word[0].encode("x", add_special_tokens=False).ids + ids and size.tolist() == [len(ids), 1, len(ids)]
-    assert word[1].decode(np.array(ids, "<u4").tobytes()) == word[0].decode(ids, skip_special_tokens=False)
+    assert word[1].decode_flat(np.array(ids, np.uint32), np.array([len(ids)])).to_pylist() == [word[0].decode(ids, skip_special_tokens=False)]
     assert byte[1].count([text]) == [len(byte[0].encode(text, add_special_tokens=False).ids)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.text(alphabet="abä", max_size=4), max_size=12), max_size=8), st.integers(0, 12), st.booleans())
+def test_word_table_gives_what_the_function_gives(groups, most, collide):
+    def work(words):
+        assert len(words) == len(set(words))
+        return np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words], np.int64)
+
+    table = WordTable(work, most)
+    with pytest.MonkeyPatch.context() as patch:
+        if collide:
+            patch.setattr(bpe_core, "string_hashes", lambda raw, ends: np.diff(ends).astype(np.uint64))
+        for group in groups:
+            words = sorted(group)
+            flat, size = table.look_up(pa.array(words, pa.large_string()))
+            want = work(words)
+            assert flat.tolist() == want[0].tolist() and size.tolist() == want[1].tolist()
+            assert len(table.key) <= most + len(words)
+
+
 def _libraries(found=[]):  # noqa: B006
     if not found:
         found += [(Tokenizer.from_file(WORD), WordCodec(WORD), LibraryCodec(WORD)), (Tokenizer.from_file(BYTE), TokenCounter(BYTE))]

@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .bpe_core import Characters, Memo, Vocabulary
-from .common import bounded_batches, text_groups, tidy
+from .bpe_core import Characters, Vocabulary, WordTable
+from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, pick, text_groups, tidy, utf8
 
 #: The pre-token pattern of the word tokenizer.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -39,14 +39,14 @@ WHITE_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\
 class WordCodec:
     """Encodes and decodes as the library does for the word-end `.json` file."""
 
-    def __init__(self, path: str, memo: int = 350_000):
+    def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(PRE_TOKENS)
         self.inside = self.vocabulary.inside_pairs()
         self.marks = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")") if self.marks else None
-        self.names = self.vocabulary.names()
-        self.words = Memo(memo)
+        self.names = pa.array(self.vocabulary.names(), pa.string())
+        self.words = WordTable(self._encode_units)
         self.exact = Tokenizer.from_file(path)
         self.exact.no_truncation()
         self.exact.no_padding()
@@ -59,12 +59,6 @@ class WordCodec:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def units(self, text: str) -> list[str]:
-        """White-space separated units of a normalized text."""
-        if CONTROL_SPACE.search(text):
-            return [u for u in WHITE_SPACE.split(text) if u]
-        return text.split()
-
     def fragments(self, words: list[bytes]) -> tuple[list[tuple[bytes, bool]], list[int]]:
         """Cuts words at forced boundaries: (fragment, is the word's end), and the fragments of each word."""
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -82,7 +76,7 @@ class WordCodec:
         upto = np.searchsorted(at, ends, "right")
         return parts, np.diff(np.concatenate(([0], upto))).tolist()
 
-    def _encode_fragments(self, parts: list[tuple[bytes, bool]]) -> list[bytes]:
+    def _encode_fragments(self, parts: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
         v = self.vocabulary
         lengths = np.fromiter((len(p) for p, _ in parts), np.int64, len(parts))
         raw = np.frombuffer(b"".join(p for p, _ in parts), np.uint8)
@@ -90,106 +84,100 @@ class WordCodec:
         final = np.fromiter((c for _, c in parts), bool, len(parts))
         ends = (np.cumsum(lengths) - 1)[final]
         flat[ends] = v.last[raw[ends]]
-        ids, counts = v.merge(flat, lengths, want_ids=True)
-        blob, upto = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        return [blob[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
-
-    def _learn(self, units: set[str]) -> None:
-        new = self.words.ready(units)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            found = [[w.encode() for w in self.pattern.findall(u)] for u in part]
+        return v.merge(flat, lengths, want_ids=True)
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit) by forced-boundary splitting."""
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(units), 50_000):
+            found = [[w.encode() for w in self.pattern.findall(u)] for u in units[i : i + 50_000]]
             words = [w for ws in found for w in ws]
-            if words:
-                parts, each = self.fragments(words)
-                order = {p: k for k, p in enumerate(dict.fromkeys(parts))}
-                codes = self._encode_fragments(list(order))
-                coded = [codes[order[p]] for p in parts]
-            at = iter(each if words else [])
-            place = 0
-            for u, ws in zip(part, found, strict=True):
-                n = sum(next(at) for _ in ws)
-                self.words.young[u] = b"".join(coded[place : place + n]) if n else b""
-                place += n
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        strange = [i for i, text in enumerate(texts) if not self.characters.agreed(text)]
-        if strange:
-            out = self.encode(["" if i in set(strange) else text for i, text in enumerate(texts)])
-            for i in strange:
-                out[i] = np.array(self.exact.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-            return out
-        if self.added:
-            marked = [i for i, text in enumerate(texts) if any(m in text for m in self.marks)]
-            if marked:
-                texts = list(texts)
-                apart = {}
-                for i in marked:
-                    parts = self.added.split(texts[i])
-                    codes = self.encode(parts[::2])
-                    between = [np.array([self.vocabulary.added[m]], "<u4").tobytes() for m in parts[1::2]] + [b""]
-                    apart[i] = b"".join(x for pair in zip(codes, between, strict=True) for x in pair)
-                    texts[i] = ""
-                out = self.encode(texts)
-                for i, code in apart.items():
-                    out[i] = code
-                return out
-        cut = [self.units(self.normalize(text)) for text in texts]
-        self._learn(set().union(*cut))
-        get = self.words.young.__getitem__
-        return [b"".join(map(get, row)) for row in cut]
+            upto = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+            if not words:
+                sizes.append(np.diff(upto))
+                continue
+            parts, each = self.fragments(words)
+            order = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+            ids, counts = self._encode_fragments(list(order))
+            which = np.fromiter(map(order.__getitem__, parts), np.int64, len(parts))
+            out.append(pick(ids, (np.cumsum(counts) - counts)[which], counts[which]).astype(np.uint32))
+            ends = np.concatenate(([0], np.cumsum(counts[which])))[np.concatenate(([0], np.cumsum(each)))]
+            sizes.append(np.diff(ends[upto]))
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _one(self, text: str) -> np.ndarray:
+        """The ids of a text that cannot go with the others: it holds added tokens, odd characters or odd spaces."""
+        if not self.characters.agreed(text):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(m in text for m in self.marks):
+            parts = self.added.split(text)
+            rest = [self.encode_flat([p])[0] for p in parts[::2]]
+            between = [np.array([self.vocabulary.added[m]], np.uint32) for m in parts[1::2]]
+            return np.concatenate([x for pair in zip(rest, [*between, rest[0][:0]], strict=True) for x in pair])
+        units = pa.array([u for u in WHITE_SPACE.split(self.normalize(text)) if u], pa.large_string()).dictionary_encode()
+        ids, size = self.words.look_up(units.dictionary)
+        at = units.indices.to_numpy()
+        return pick(ids, (np.cumsum(size) - size)[at], size[at])
 
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, flat, and the number of ids of each; distinct words are looked up once."""
-        plain = [self.normalize(text) for text in texts]
-        if any(CONTROL_SPACE.search(text) for text in plain) or any(m in text for text in texts for m in self.marks) or not all(map(self.characters.agreed, texts)):
-            codes = self.encode(texts)
-            return np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        plain, apart = [self.normalize(text) for text in texts], {}
+        for i, text in enumerate(texts):
+            if not self.characters.agreed(text) or any(m in text for m in self.marks) or CONTROL_SPACE.search(text):
+                plain[i], apart[i] = "", self._one(text)
         rows = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
         units = rows.flatten().dictionary_encode()
-        words = units.dictionary.to_pylist()
-        self._learn({w for w in words if w})
-        codes = [self.words.young[w] if w else b"" for w in words]
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        known = np.frombuffer(b"".join(codes), "<u4")
+        ids, size = self.words.look_up(units.dictionary)
         at = units.indices.to_numpy()
         each = size[at]
-        upto = np.concatenate(([0], np.cumsum(each)))
-        ids = known[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], each) + np.arange(upto[-1])]
-        ends = upto[rows.offsets.to_numpy() - rows.offsets[0].as_py()]
-        return ids, np.diff(ends)
-
-    def decode(self, ids: bytes) -> str:
-        """The token texts, joined by blanks: the file names no decoder."""
-        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        ids = pick(ids, (np.cumsum(size) - size)[at], each)
+        upto = np.concatenate(([0], np.cumsum(each)))[rows.offsets.to_numpy() - rows.offsets[0].as_py()]
+        if not apart:
+            return ids, np.diff(upto)
+        out, a = [], 0
+        for i, code in apart.items():
+            out += [ids[upto[a] : upto[i]], code]
+            a = i + 1
+        count = np.diff(upto)
+        count[list(apart)] = [len(code) for code in apart.values()]
+        return np.concatenate([*out, ids[upto[a] :]]), count
+
+    def decode_flat(self, ids: np.ndarray, size: np.ndarray) -> pa.Array:
+        """The token texts of each row, joined by blanks: the file names no decoder."""
+        offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.names.take(pa.array(ids))), " ")
 
 
 @lru_cache(2)
 def codec_for(path: str) -> WordCodec:
     """One codec per worker process: its memo serves all tasks that the process runs."""
-    return WordCodec(path, 80_000)
+    return WordCodec(path)
+
+
+def _digests(blob: np.ndarray | memoryview, ends: np.ndarray) -> pa.Array:
+    """SHA-256 of each row of bytes."""
+    at = ends.tolist()
+    return pa.array([hashlib.sha256(blob[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)], pa.string())
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_tokens, ids array<int>, decoded string); with `digests` SHA-256 of ids and text instead of the values."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, GROUP_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for start, end in text_groups(text):
+            for start, end in text_groups(text, GROUP_BYTES):
                 flat, size = codec.encode_flat(text.slice(start, end - start).to_pylist())
-                blob, upto = flat.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(4 * size))).tolist()
-                coded = [blob[a:b] for a, b in zip(upto, upto[1:], strict=False)]
-                plain = [codec.decode(c) for c in coded]
+                plain = codec.decode_flat(flat, size)
                 counts = pa.array(size)
                 if digests:
-                    values = [pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()), pa.array([hashlib.sha256(p.encode()).hexdigest() for p in plain], pa.string())]
+                    blob = memoryview(flat.astype("<u4").view(np.uint8))
+                    values = [_digests(blob, np.concatenate(([0], np.cumsum(4 * size)))), _digests(*utf8(plain))]
                 else:
                     offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                    values = [pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32))), pa.array(plain, pa.string())]
+                    values = [pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32))), plain.cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), counts, *values], ["id", "n_tokens", *names])
 
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]

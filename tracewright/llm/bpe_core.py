@@ -10,11 +10,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from .common import mix, pick, utf8
+
 NO_RANK = np.int64(1 << 40)
 
 
@@ -143,6 +147,22 @@ class Vocabulary:
         return out[np.argsort(who, kind="stable")], counts
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def string_hashes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of strings that lie one after the other, by prefix sums of a polynomial."""
+    n = len(raw)
+    up, down = np.full(n + 1, _BASE), np.full(n + 1, _BACK)
+    up[0] = down[0] = 1
+    np.cumprod(up, dtype=np.uint64, out=up)
+    np.cumprod(down, dtype=np.uint64, out=down)
+    upto = np.concatenate(([np.uint64(0)], np.cumsum(_VALUE[raw] * up[:n], dtype=np.uint64)))
+    return mix((upto[ends[1:]] - upto[ends[:-1]]) * down[ends[:-1]])
+
+
 class Characters:
     """Which characters the pre-token pattern classes as the library does.
 
@@ -171,23 +191,71 @@ class Characters:
         return True
 
 
-class Memo:
-    """A map of two generations: when the young one is full it becomes the old one, so memory stays bounded."""
-
-    def __init__(self, most: int = 350_000):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.most = most
-
-    def ready(self, wanted: set) -> list:
-        """Brings what is known of `wanted` into the young generation; returns what is unknown."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for key in wanted.difference(young):
-            value = old.get(key)
-            if value is None:
-                out.append(key)
-            else:
-                young[key] = value
-        return out
+class WordTable:
+    """A bounded exact map from words to small arrays of numbers, held in flat arrays.
+
+    Words are found by a 64-bit hash and confirmed on their bytes; a word whose hash
+    another one has is worked out each time.  When more than `most` words are held,
+    the half that was not asked for lately goes.
+    """
+
+    def __init__(self, work: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+        self.work, self.most, self.turn = work, most, 0
+        self._start_over()
+
+    def _start_over(self) -> None:
+        self.key, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.text, self.text_end = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.value, self.value_end = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int32)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The values of distinct words, flat, and the number of values of each."""
+        self.turn += 1
+        if len(self.key) > self.most:
+            self._shed()
+        raw, ends = utf8(words)
+        key = string_hashes(raw, ends)
+        size = np.diff(ends)
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        found = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        taken = found.copy()
+        slot = self.slot[at] if len(self.key) else np.zeros(len(key), np.int32)
+        found &= np.diff(self.text_end)[slot] == size if len(self.key) else False
+        which = np.flatnonzero(found)
+        mine, theirs = pick(raw, ends[:-1][which], size[which]), pick(self.text, self.text_end[slot[which]], size[which])
+        unlike = np.flatnonzero(mine != theirs)
+        found[which[np.searchsorted(np.cumsum(size[which]), unlike, "right")]] = False
+        which = np.flatnonzero(found)
+        self.used[slot[which]] = self.turn
+        new = np.flatnonzero(~found)
+        values, counts = self.work(words.take(pa.array(new)).to_pylist()) if len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        total, begin = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        total[which], begin[which] = np.diff(self.value_end)[slot[which]], self.value_end[slot[which]]
+        total[new], begin[new] = counts, len(self.value) + np.cumsum(counts) - counts
+        out = pick(np.concatenate([self.value, values.astype(np.uint32)]), begin, total)
+        fresh = ~taken[new]
+        fresh[fresh] = np.isin(np.arange(int(fresh.sum())), np.unique(key[new[fresh]], return_index=True)[1])
+        self._add(key[new[fresh]], pick(raw, ends[:-1][new[fresh]], size[new[fresh]]), size[new[fresh]], pick(values, (np.cumsum(counts) - counts)[fresh], counts[fresh]), counts[fresh])
+        return out, total
+
+    def _add(self, key: np.ndarray, text: np.ndarray, size: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(key)
+        place = np.searchsorted(self.key, key[order])
+        self.slot = np.insert(self.slot, place, len(self.slot) + order.astype(np.int32))
+        self.key = np.insert(self.key, place, key[order])
+        self.text, self.value = np.concatenate([self.text, text]), np.concatenate([self.value, values.astype(np.uint32)])
+        self.text_end = np.concatenate([self.text_end, self.text_end[-1] + np.cumsum(size)])
+        self.value_end = np.concatenate([self.value_end, self.value_end[-1] + np.cumsum(counts)])
+        self.used = np.concatenate([self.used, np.full(len(key), self.turn, np.int32)])
+
+    def _shed(self) -> None:
+        """Keeps the half that was used last."""
+        key, keep = np.zeros(len(self.key), np.uint64), np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        key[self.slot] = self.key
+        size, counts = np.diff(self.text_end)[keep], np.diff(self.value_end)[keep]
+        text, values, used = pick(self.text, self.text_end[keep], size), pick(self.value, self.value_end[keep], counts), self.used[keep]
+        self._start_over()
+        self._add(key[keep], text, size, values, counts)
+        self.used = used

@@ -152,6 +152,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def pick(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[begin:begin + size] of each row, one after the other."""
+    upto = np.cumsum(size)
+    return values[np.repeat(begin - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+
+
 def text_groups(text: pa.Array, most: int = 2 << 20) -> list[tuple[int, int]]:
     """Row ranges of a string column of at most `most` bytes each."""
     return slices(utf8(text)[1], most)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .bpe_core import Characters, Memo, Vocabulary
+from .bpe_core import Characters, Vocabulary, WordTable
 from .common import GROUP_BYTES, GROUP_ROWS, bounded_batches, text_groups, tidy
 
 #: The pre-token pattern of the byte-level tokenizer.
@@ -41,27 +41,22 @@ class TokenCounter:
         special = sorted(self.vocabulary.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.marks = special
-        self.spaced, self.plain = Memo(), Memo()
+        self.spaced = WordTable(lambda units: self._count([self.pattern.findall(" " + u) for u in units]))
+        self.plain = WordTable(lambda words: self._count([[w] for w in words]))
         self.exact = Tokenizer.from_file(path)
         self.exact.no_truncation()
         self.exact.no_padding()
         self.characters = Characters(self.exact, self.pattern)
 
-    def _count(self, units: list[list[str]]) -> list[int]:
-        """Tokens of each unit, given as its pre-tokens."""
-        words = [p.encode() for unit in units for p in unit]
-        if not words:
-            return [0] * len(units)
-        counts = self.vocabulary.merge(*self.vocabulary.symbols(words))
-        ends = np.cumsum([len(unit) for unit in units])
-        total = np.concatenate(([0], np.cumsum(counts)))
-        return np.diff(total[np.concatenate(([0], ends))]).tolist()
-
-    def _learn(self, memo: Memo, wanted: set, cut) -> None:
-        new = memo.ready(wanted)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            memo.young.update(zip(part, self._count([cut(x) for x in part]), strict=True))
+    def _count(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each unit, ones), a unit given as its pre-tokens."""
+        out = [np.zeros(0, np.int64)]
+        for i in range(0, len(units), 50_000):
+            part = units[i : i + 50_000]
+            counts = self.vocabulary.merge(*self.vocabulary.symbols([p.encode() for unit in part for p in unit]))
+            ends = np.concatenate(([0], np.cumsum([len(unit) for unit in part])))
+            out.append(np.diff(np.concatenate(([0], np.cumsum(counts)))[ends]))
+        return np.concatenate(out), np.ones(len(units), np.int64)
 
     def count(self, texts: list[str]) -> list[int]:
         find = self.pattern.findall
@@ -88,20 +83,15 @@ class TokenCounter:
         if easy:
             rows = pc.split_pattern(pa.array([rest for _, rest in easy], pa.large_string()), " ")
             units = rows.flatten().dictionary_encode()
-            size = self._sizes(self.spaced, units.dictionary.to_pylist(), lambda x: find(" " + x))
+            size = self.spaced.look_up(units.dictionary)[0].astype(np.int64)
             upto = np.concatenate(([0], np.cumsum(size[units.indices.to_numpy()])))
             total[[i for i, _ in easy]] += np.diff(upto[rows.offsets.to_numpy() - rows.offsets[0].as_py()])
         if slow:
-            words = list(dict.fromkeys(slow))
-            place = {w: k for k, w in enumerate(words)}
-            size = self._sizes(self.plain, words, lambda x: [x])
-            np.add.at(total, owner, size[[place[w] for w in slow]])
+            words = pa.array(slow, pa.large_string()).dictionary_encode()
+            size = self.plain.look_up(words.dictionary)[0].astype(np.int64)
+            np.add.at(total, owner, size[words.indices.to_numpy()])
         return total.tolist()
 
-    def _sizes(self, memo: Memo, units: list[str], cut) -> np.ndarray:
-        self._learn(memo, set(units), cut)
-        return np.fromiter(map(memo.young.__getitem__, units), np.int64, len(units))
-
 
 @lru_cache(2)
 def counter_for(path: str) -> TokenCounter:

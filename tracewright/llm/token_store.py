@@ -48,14 +48,14 @@ class LibraryCodec(WordCodec):
         self.library.no_padding()
         self.library.encode_special_tokens = True  # their strings were cut out before lower-casing
 
-    def _learn(self, units: set[str]) -> None:
-        new = self.words.ready(units)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(units), 50_000):
+            part = units[i : i + 50_000]
             coded = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            size = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)) if coded.word_ids else np.zeros(len(part), np.int64)
-            blob, upto = np.array(coded.ids, "<u4").tobytes(), np.cumsum(size) * 4
-            self.words.young.update((u, blob[b - 4 * n : b]) for u, n, b in zip(part, size.tolist(), upto.tolist(), strict=True))
+            out.append(np.array(coded.ids, np.uint32))
+            sizes.append(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part)) if coded.word_ids else np.zeros(len(part), np.int64))
+        return np.concatenate(out), np.concatenate(sizes)
 
 
 @lru_cache(2)
