@@ -7,19 +7,24 @@ all sets in one node; at a node every coordinate is sampled with probability
 1 / (threshold * 128), and the sets of the node are split by their token at the
 sampled coordinates.  Two sets at the threshold share one child on average, so
 the path process stays critical, while dissimilar sets part quickly.  Runs are
-repeated until their number gives the target recall at the threshold.  The sets
-of nodes that are still large then go through further runs of their own, to more
-levels and as many as these take for the same recall; nodes of one set end, the
-others are compared by brute force: first on the sketches, which makes candidate groups,
-then exactly on the shingle sets inside each group.
+repeated until their number gives the target recall at the threshold.
 
-Equal sets are one class with a multiplicity; copies are neither split nor
-expanded.  Large nodes and groups are compared in pairs of blocks, so none has
-to fit one task, and the exact step covers all pairs of a group.
+Buckets, the nodes of at most `LIMIT` sets, are compared by brute force on the
+sketches.  A larger node is first compared in blocks, which joins what belongs
+together there; where it still holds sets of several groups after that, its sets
+go through further runs of their own, to more levels and as many as these take
+for the same recall.  Nodes that hold one group only are dropped: the last step
+compares all sets of a group exactly, so they have nothing to add.
+
+Equal sets are one class with a multiplicity and a number of its own; copies are
+neither split nor expanded.  Large nodes and groups are compared in packed
+blocks and pairs of blocks, so none has to fit one task, and the exact step
+covers all pairs of a group.
 
 Defined cases: texts without words and rows without an id link with nothing; a
 text of fewer than five words has one shingle of all its words; rows that repeat
-an id are one document; other columns are not read.
+an id are documents of their own, each with its own text's links; ids have to
+be integers; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpointed, mix, text_groups, tidy
-from .components import connected_components, in_block_pairs, label_components
+from .components import all_pairs, connected_components, inside_blocks, join_counted, smallest_ids
 from .words import Words
 
 COORDINATES = 128
 DEPTH = 3
 LIMIT = 256
 DEEPER = 4
-BLOCK = 512
+BLOCK = 512  # sets compared at once on sketches
+EXACT = 2048  # and on shingle sets of up to USUAL shingles
+USUAL = 512
 #: Odd multipliers: a hash function of (well mixed) shingle codes for each coordinate.
 FACTORS = np.random.default_rng(10).integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -141,17 +148,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
             for start, end in text_groups(batch.column(1)):
                 n = end - start
                 row, code = Words(batch.column(1).slice(start, n)).shingles(shingle)
-                first = np.searchsorted(row, np.arange(n + 1))
-                total = np.concatenate(([np.uint64(0)], np.cumsum(code, dtype=np.uint64)))
-                other = np.concatenate(([np.uint64(0)], np.cumsum(mix(code), dtype=np.uint64)))
-                size = np.diff(first)
-                h1, h2 = (pa.array(np.diff(t[first]).view(np.int64), mask=size == 0) for t in (total, other))
+                size, *sums = set_hashes(row, code, n)
                 rows = sketches(row, code, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), h1, h2, pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *[pa.array(h, mask=size == 0) for h in sums], pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "h1", "h2", "sketch"])
 
     sets = checkpointed(base.mapInArrow(tidy(sketch), "id long, h1 long, h2 long, sketch binary"))
-    classes = sets.where("id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
-    classes = checkpointed(classes)
+    classes = sets.where("id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
     runs, more = runs_for(recall, threshold), runs_for(recall, threshold, DEPTH + DEEPER)
 
     def walk(levels: int, roots: range | None = None):
@@ -167,93 +170,102 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
 
         return run
 
-    def part(paths: DataFrame, small: str) -> tuple[DataFrame, DataFrame]:
-        """The paths into nodes of several sets: those to be compared, and the others."""
-        size = paths.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        done, large = (paths.join(size.where(which).select("node"), "node", "left_semi") for which in (small, f"not ({small})"))
-        return done, checkpointed(large)
-
+    sketched = classes.select("rep", "sketch")
     short = "rep long, node long"
-    ready, large = part(checkpointed(classes.select("rep", "sketch").mapInArrow(tidy(walk(DEPTH - 1, range(runs))), short)), f"n <= {LIMIT}")
-    if not large.isEmpty():
-        # a pair that met in large nodes only is found by runs of the sets of such nodes alone, as many as the greater depth takes
-        dense = classes.select("rep", "sketch").join(large.select("rep").distinct(), "rep", "left_semi")
-        paths = dense.mapInArrow(tidy(walk(DEPTH - 1, range(runs, runs + more))), short)
-        for turn in range(DEEPER + 1):
-            done, large = part(checkpointed(paths), "n > 1" if turn == DEEPER else f"n <= {LIMIT}")
-            ready = ready.unionByName(done)
-            if large.isEmpty():
-                break
-            paths = large.join(classes.select("rep", "sketch"), "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1)), short)
-
     least = least_agreement(recall, threshold)
 
-    def candidates(t: pa.Table) -> pa.Table:
-        own, rep, rows = t["own"].to_numpy(), t["node"].to_numpy(), _unpack(t["sketch"])
-        low, high = np.flatnonzero(own == t["low"][0].as_py()), np.flatnonzero(own == t["high"][0].as_py())
-        a, b = [], []
-        for i in low:
-            near = high[(rows[high] == rows[i]).sum(1) >= least]
-            a.append(np.full(len(near), rep[i]))
-            b.append(rep[near])
-        a, b = np.concatenate(a), np.concatenate(b)
-        a, b = a[a != b], b[a != b]
-        if len(a):
-            a, b = label_components(a, b)
-        return pa.table({"a": a[a != b], "b": b[a != b]})
+    def alike(low: pa.Table, high: pa.Table) -> np.ndarray:
+        a, b = _unpack(low["sketch"]), _unpack(high["sketch"])
+        return np.stack([(b == row).sum(1) >= least for row in a])
 
+    def edges_in(paths: DataFrame) -> DataFrame:
+        """Candidate edges (a, b) of paths (rep, node, n): compares the sets of each node, those of a node above `LIMIT` in blocks."""
+        blocks = F.when(F.col("n") > LIMIT, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
+        rows = paths.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int")).drop("n")
+        rows = rows.join(sketched, "rep").select(F.col("node").alias("component"), "own", "blocks", F.col("rep").alias("node"), F.lit(1).cast("long").alias("copies"), "sketch")
+        return checkpointed(inside_blocks(rows, alike, keep=False).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+
+    def in_groups(paths: DataFrame, groups: DataFrame) -> DataFrame:
+        """Paths (rep, node) with the group of each set, which is the set itself where no edge is known."""
+        return paths.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "node", F.coalesce("component", "rep").alias("component"))
+
+    def mixed(paths: DataFrame) -> DataFrame:
+        """(node, n) of the nodes that hold sets of several groups."""
+        return paths.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node", "n")
+
+    paths = checkpointed(sketched.mapInArrow(tidy(walk(DEPTH - 1, range(runs))), short))
+    size = paths.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.min("rep").alias("first")).where("n > 1")
     # nodes that hold the same sets, as runs on a group of near copies do, are compared once
-    ready = ready.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.min("rep").alias("least")).groupBy("n", "same", "least").agg(F.min("node").alias("node")).select("node").join(ready, "node")
-    members = ready.select(F.col("node").alias("component"), F.col("rep").alias("node")).distinct().join(classes.select(F.col("rep").alias("node"), "sketch"), "node")
-    edges = in_block_pairs(members, candidates, "a long, b long", BLOCK)
+    size = size.groupBy("n", "same", "first").agg(F.min("node").alias("node")).select("node", "n")
+    several = checkpointed(paths.join(size, "node").select("rep", "node", "n"))
+    edges = edges_in(several)
     groups = connected_components(edges)
+    large = in_groups(several.where(f"n > {LIMIT}").select("rep", "node"), groups)
+    dense = checkpointed(large.join(mixed(large).select("node"), "node", "left_semi").select("rep").distinct())
+    if not dense.isEmpty():
+        # a pair that met in large nodes only is found by runs of the sets of such nodes alone, as many as the greater depth takes
+        paths = sketched.join(dense, "rep", "left_semi").mapInArrow(tidy(walk(DEPTH - 1, range(runs, runs + more))), short)
+        for turn in range(DEEPER + 1):
+            paths = checkpointed(in_groups(paths, groups))
+            size = mixed(paths)
+            small, rest = (size.where(which) for which in (f"n <= {LIMIT}", f"n > {LIMIT}"))
+            edges = edges.unionByName(edges_in(paths.join(small, "node").select("rep", "node", "n")))
+            paths = checkpointed(paths.join(rest.select("node"), "node", "left_semi").select("rep", "node"))
+            if paths.isEmpty():
+                break
+            if turn < DEEPER:
+                paths = paths.join(sketched, "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1)), short)
+        else:
+            # what is large and mixed even now is compared where it stands, in pairs of blocks
+            members = paths.join(sketched, "rep").select(F.col("node").alias("component"), F.col("rep").alias("node"), F.lit(1).cast("long").alias("copies"), F.lit(1).alias("load"), "sketch")
+            edges = edges.unionByName(all_pairs(members, alike, BLOCK).select(F.col("node").alias("a"), F.col("label").alias("b")))
+        groups = connected_components(edges)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in text_groups(batch.column(3)):
                 n = end - start
                 row, code = Words(batch.column(3).slice(start, n)).shingles(shingle)
-                first = (8 * np.searchsorted(row, np.arange(n + 1))).tolist()
+                first = np.searchsorted(row, np.arange(n + 1))
+                _, h1, h2 = set_hashes(row, code, n)
+                own = pa.array((h1 == batch.column(4).slice(start, n).to_numpy()) & (h2 == batch.column(5).slice(start, n).to_numpy()))  # not another text of the same id
                 blob = code.tobytes()
-                packed = pa.array([blob[i:j] for i, j in zip(first, first[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, n) for i in range(3)], packed], ["component", "node", "copies", "codes"])
-
-    known = groups.join(classes.select(F.col("rep").alias("node"), "copies", "h1", "h2"), "node")
-    members = known.join(base, F.col("node") == F.col("id")).select("component", "node", "copies", "text").mapInArrow(tidy(shingled), "component long, node long, copies long, codes binary")
-
-    def exact(t: pa.Table) -> pa.Table:
-        own, rep, copies = t["own"].to_numpy(), t["node"].to_numpy(), t["copies"].to_numpy()
-        low, high = own == t["low"][0].as_py(), own == t["high"][0].as_py()
-        near = overlaps([np.frombuffer(c, np.uint64) for c in t["codes"].to_pylist()], low, high, threshold)
-        if t["low"][0] == t["high"][0]:
-            np.fill_diagonal(near, False)
-        i, j = np.nonzero(near)
-        a, b = rep[low][i], rep[high][j]
-        nodes, root = label_components(a, b)
-        root = dict(zip(nodes.tolist(), root.tolist(), strict=True))
-        node, n = rep[low], near @ copies[high]
-        if t["low"][0] != t["high"][0]:
-            node, n = np.concatenate([node, rep[high]]), np.concatenate([n, near.T @ copies[low]])
-        node, n = node[n > 0], n[n > 0]
-        return pa.table({"node": node, "n": n.astype(np.int64), "root": np.array([root[x] for x in node.tolist()], np.int64)})
-
-    found = checkpointed(in_block_pairs(members, exact, "node long, n long, root long", BLOCK))
-    links = found.groupBy("node").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    result = classes.select("h1", "h2", "rep", "copies").join(links, F.col("rep") == F.col("node"), "left").drop("node").join(parts, F.col("rep") == F.col("node"), "left")
-    result = result.select("h1", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "h1", "h2").join(result, ["h1", "h2"], "left").withColumn("mine", F.col("id").isNotNull())
-    component = F.when(F.col("mine"), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col), F.when(F.col("mine"), F.coalesce("rep", "id")).alias("class_id"),
-        F.when(F.col("mine"), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
-
-
-def overlaps(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
-    """Which sets of `low` and `high` (masks) reach the Jaccard threshold; counted by matrix products over shared tokens."""
-    size = np.array([len(s) for s in sets], np.int64)
+                packed = pa.array([blob[8 * i : 8 * j] for i, j in zip(first.tolist(), first[1:].tolist(), strict=False)], pa.binary())
+                load = pa.array(1 + np.diff(first) // USUAL)
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(start, n) for i in range(3)], load, packed], ["component", "node", "copies", "load", "codes"]).filter(own)
+
+    known = groups.join(classes.select(F.col("rep").alias("node"), "copies", "h1", "h2", "least"), "node")
+    found = known.join(base.where("id is not null"), F.col("least") == F.col("id")).select("component", "node", "copies", "text", "h1", "h2")
+    members = found.mapInArrow(tidy(shingled), "component long, node long, copies long, load long, codes binary")
+
+    def near(low: pa.Table, high: pa.Table) -> np.ndarray:
+        return overlaps([np.frombuffer(c, np.uint64) for c in low["codes"].to_pylist()], [np.frombuffer(c, np.uint64) for c in high["codes"].to_pylist()], threshold)
+
+    pairs = all_pairs(members, near, EXACT)
+    links = pairs.groupBy("node").agg(F.sum("n").alias("n"))
+    parts = connected_components(pairs.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    low = smallest_ids(classes.select(F.col("rep").alias("node"), "least"), parts, parts.count())
+    result = classes.select("h1", "h2", "rep", "least", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(low.select(F.col("node").alias("rep"), F.col("least").alias("component")), "rep", "left")
+    result = result.select("h1", "h2", F.col("least").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"), F.col("copies").alias("n"))
+    mine = sets.where("id is not null and h1 is not null").select("id", "h1", "h2")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    joined = join_counted(mine, result, ["h1", "h2"], total).select("id", "class_id", "n_links", "component")
+    alone = sets.where("id is null or h1 is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
+    return joined.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def set_hashes(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of shingles of each row, and two 64-bit sums over them that name the set."""
+    first = np.searchsorted(row, np.arange(n + 1))
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(x, dtype=np.uint64)))[first] for x in (code, mix(code))]
+    return np.diff(first), *[np.diff(x).view(np.int64) for x in sums]
+
+
+def overlaps(low: list[np.ndarray], high: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of `low` and `high` reach the Jaccard threshold; counted by matrix products over shared tokens."""
+    n, sets = len(low), [*low, *high]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
     owner = np.repeat(np.arange(len(sets)), size)
     code, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = often > 1
@@ -262,12 +274,12 @@ def overlaps(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, threshol
     owner, at = owner[keep], place[at[keep]]
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
-    inter = np.zeros((int(low.sum()), int(high.sum())), np.float32)
-    width = 8192
+    inter = np.zeros((n, len(high)), np.float32)
+    width = max(64, (4 << 20) // len(sets))
     for c in range(0, int(shared.sum()), width):
         i, j = np.searchsorted(at, [c, c + width])
         x = np.zeros((len(sets), min(width, int(shared.sum()) - c)), np.float32)
         x[owner[i:j], at[i:j] - c] = 1.0
-        inter += x[low] @ x[high].T
-    union = size[low][:, None] + size[high][None, :] - inter
+        inter += x[:n] @ x[n:].T
+    union = size[:n, None] + size[None, n:] - inter
     return inter >= threshold * union - 1e-6
