@@ -54,7 +54,8 @@ def test_small_blocks_and_nodes_change_nothing(spark, monkeypatch):
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
     near = np.array([[i != j and len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
     want = list(zip(range(len(texts)), near.sum(1).tolist(), matrix_components(near).tolist(), strict=True))
-    for limit, block, exact in ((256, 512, 2048), (20, 16, 16), (4, 30, 40)):
+    for limit, block, exact, pairs in ((256, 512, 2048, 1000), (20, 16, 16, 1000), (4, 30, 40, 0)):
+        monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
         monkeypatch.setattr(jaccard_join, "LIMIT", limit)
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
         monkeypatch.setattr(jaccard_join, "EXACT", exact)

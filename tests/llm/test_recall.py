@@ -32,7 +32,9 @@ def test_jaccard_pairs_of_short_texts(spark):
 
 
 def test_jaccard_pairs_that_meet_in_large_nodes_only(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LIMIT", 1)  # every node counts as large
+    monkeypatch.setattr(jaccard_join, "LIMIT", 0)  # every node counts as large and of many groups,
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1)  # is not compared in itself,
+    monkeypatch.setattr(jaccard_join, "PAIRS", 0)  # nor in pairs of blocks before the last level
     words, rows = word_maker("d"), []
     for _ in range(2000):
         w = words(54)

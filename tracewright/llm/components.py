@@ -120,10 +120,13 @@ def join_counted(rows: DataFrame, table: DataFrame, key: list[str], total: int)
 
 
 def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """(node, component) for all nodes of the edges (a long, b long); component is the smallest node."""
-    # dealt out first, so that no task runs the Python of the edges and that of the stars side by side
-    e = checkpointed(edges.select("a", "b").where("a <> b").repartition("a").mapInArrow(tidy(_stars), "a long, b long"))
+    """(node, component) for all nodes of the edges (a long, b long; read several times); component is the smallest node."""
+    e = edges.select("a", "b").where("a <> b")
     n = e.count()
+    if n > one_task:
+        # dealt out first, so that no task runs the Python of the edges and that of the stars side by side
+        e = checkpointed(e.repartition("a").mapInArrow(tidy(_stars), "a long, b long"))
+        n = e.count()
     if n <= one_task:
         found = e.repartition(1).mapInArrow(tidy(_stars), "a long, b long")
         return checkpointed(_with_roots(found))
@@ -262,6 +265,8 @@ def across_blocks(blocks: DataFrame, compare: Compare) -> DataFrame:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["component", "low", "high"]):
+            if t.num_rows < 2:  # the other block got no member
+                continue
             low, high = map(_unframe, t["data"].to_pylist())
             near = compare(low, high)
             a, b = stars(*linked_labels(near, low["label"].to_numpy(), high["label"].to_numpy()))

@@ -9,12 +9,14 @@ sampled coordinates.  Two sets at the threshold share one child on average, so
 the path process stays critical, while dissimilar sets part quickly.  Runs are
 repeated until their number gives the target recall at the threshold.
 
-Buckets, the nodes of at most `LIMIT` sets, are compared by brute force on the
-sketches.  A larger node is first compared in blocks, which joins what belongs
-together there; where it still holds sets of several groups after that, its sets
-go through further runs of their own, to more levels and as many as these take
-for the same recall.  Nodes that hold one group only are dropped: the last step
-compares all sets of a group exactly, so they have nothing to add.
+The first `FIRST` runs come alone: nodes that hold sets of one group only, by the
+edges they found, are dropped from the others, since the last step compares all
+sets of a group exactly.  Buckets, the nodes of at most `LIMIT` sets, are compared
+by brute force on the sketches, and so are larger nodes of one group and few
+other sets.  A node of many groups that is larger is compared in blocks, which
+joins what belongs together there; if all pairs of blocks are too many, its sets
+then go through further runs of their own, to more levels and as many as these
+take for the same recall.
 
 Equal sets are one class with a multiplicity and a number of its own; copies are
 neither split nor expanded.  Large nodes and groups are compared in packed
@@ -43,8 +45,10 @@ from .words import Words
 
 COORDINATES = 128
 DEPTH = 3
+FIRST = 3  # runs before the first look at what they have joined
 LIMIT = 256
 DEEPER = 4
+PAIRS = 1000  # comparisons per set that brute force may cost in all where further runs could take its place
 BLOCK = 512  # sets compared at once on sketches
 EXACT = 2048  # and on shingle sets of up to USUAL shingles
 USUAL = 512
@@ -156,69 +160,88 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     classes = sets.where("id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
     runs, more = runs_for(recall, threshold), runs_for(recall, threshold, DEPTH + DEEPER)
+    sketched = classes.select("rep", "sketch")
+    walked = "rep long, component long, node long"
 
     def walk(levels: int, roots: range | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rep, rows = batch.column(0).to_numpy(), _unpack(batch.column(1))
+                rep, component, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _unpack(batch.column(2))
                 if roots is not None:
                     index, node = depart(rows, roots, threshold)
                 else:
-                    index, node = np.arange(len(rep)), batch.column(2).to_numpy().view(np.uint64)
+                    index, node = np.arange(len(rep)), batch.column(3).to_numpy().view(np.uint64)
                 index, node = descend(node, rows, index, threshold, levels)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[index]), pa.array(node.view(np.int64))], ["rep", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[index]), pa.array(component[index]), pa.array(node.view(np.int64))], ["rep", "component", "node"])
 
         return run
 
-    sketched = classes.select("rep", "sketch")
-    short = "rep long, node long"
     least = least_agreement(recall, threshold)
 
     def alike(low: pa.Table, high: pa.Table) -> np.ndarray:
         a, b = _unpack(low["sketch"]), _unpack(high["sketch"])
         return np.stack([(b == row).sum(1) >= least for row in a])
 
-    def edges_in(paths: DataFrame) -> DataFrame:
-        """Candidate edges (a, b) of paths (rep, node, n): compares the sets of each node, those of a node above `LIMIT` in blocks."""
-        blocks = F.when(F.col("n") > LIMIT, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
-        rows = paths.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int")).drop("n")
-        rows = rows.join(sketched, "rep").select(F.col("node").alias("component"), "own", "blocks", F.col("rep").alias("node"), F.lit(1).cast("long").alias("copies"), "sketch")
-        return checkpointed(inside_blocks(rows, alike, keep=False).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-
-    def in_groups(paths: DataFrame, groups: DataFrame) -> DataFrame:
-        """Paths (rep, node) with the group of each set, which is the set itself where no edge is known."""
-        return paths.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "node", F.coalesce("component", "rep").alias("component"))
+    def grouped_sets(groups: DataFrame | None, only: DataFrame | None = None) -> DataFrame:
+        """(rep, component, sketch); a set that no edge is known of is a component of its own."""
+        chosen = sketched if only is None else sketched.join(only, "rep", "left_semi")
+        if groups is None:
+            return chosen.select("rep", F.col("rep").alias("component"), "sketch")
+        return chosen.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "sketch")
 
     def mixed(paths: DataFrame) -> DataFrame:
-        """(node, n) of the nodes that hold sets of several groups."""
-        return paths.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node", "n")
-
-    paths = checkpointed(sketched.mapInArrow(tidy(walk(DEPTH - 1, range(runs))), short))
-    size = paths.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same"), F.min("rep").alias("first")).where("n > 1")
-    # nodes that hold the same sets, as runs on a group of near copies do, are compared once
-    size = size.groupBy("n", "same", "first").agg(F.min("node").alias("node")).select("node", "n")
-    several = checkpointed(paths.join(size, "node").select("rep", "node", "n"))
-    edges = edges_in(several)
+        """The paths (rep, node, n) into nodes that hold sets of several components; n is the number of the node's sets."""
+        size = paths.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        return paths.join(size.select("node", "n"), "node").select("rep", "component", "node", "n")
+
+    def compared(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidate edges (a, b) between the sets of each node, and the paths into large nodes of many components.
+
+        The sets of a large node are dealt into blocks.  Where at most `LIMIT` of them are outside
+        its largest component, these go to every block, which settles the node; else its blocks
+        are compared each in itself, and the paths are returned for more.
+        """
+        several = checkpointed(mixed(paths))
+        main = several.where(f"n > {LIMIT}").groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg(F.max(F.struct("m", F.col("component").alias("main"))).alias("x"))
+        large = checkpointed(several.where(f"n > {LIMIT}").join(main.select("node", "x.*"), "node"))
+        few = F.col("n") - F.col("m") <= LIMIT
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("rep", "node"), blocks).cast("int")
+        everywhere = few & (F.col("component") != F.col("main"))
+        dealt = large.select("rep", "node", F.explode(F.when(everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))).alias("own"))
+        rows = several.where(f"n <= {LIMIT}").select("rep", "node", F.lit(0).alias("own")).unionByName(dealt)
+        rows = rows.join(sketched, "rep").select(F.col("node").alias("component"), "own", F.lit(1).alias("blocks"), F.col("rep").alias("node"), F.lit(1).cast("long").alias("copies"), "sketch")
+        edges = checkpointed(inside_blocks(rows, alike, keep=False).where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return edges, large.where(~few).select("rep", "node")
+
+    # a few runs find most groups; later runs look at nodes that hold several of these only
+    edges, rest = compared(checkpointed(grouped_sets(None).mapInArrow(tidy(walk(DEPTH - 1, range(FIRST))), walked)))
     groups = connected_components(edges)
-    large = in_groups(several.where(f"n > {LIMIT}").select("rep", "node"), groups)
-    dense = checkpointed(large.join(mixed(large).select("node"), "node", "left_semi").select("rep").distinct())
-    if not dense.isEmpty():
-        # a pair that met in large nodes only is found by runs of the sets of such nodes alone, as many as the greater depth takes
-        paths = sketched.join(dense, "rep", "left_semi").mapInArrow(tidy(walk(DEPTH - 1, range(runs, runs + more))), short)
-        for turn in range(DEEPER + 1):
-            paths = checkpointed(in_groups(paths, groups))
-            size = mixed(paths)
-            small, rest = (size.where(which) for which in (f"n <= {LIMIT}", f"n > {LIMIT}"))
-            edges = edges.unionByName(edges_in(paths.join(small, "node").select("rep", "node", "n")))
-            paths = checkpointed(paths.join(rest.select("node"), "node", "left_semi").select("rep", "node"))
-            if paths.isEmpty():
-                break
-            if turn < DEEPER:
-                paths = paths.join(sketched, "rep").select("rep", "sketch", "node").mapInArrow(tidy(walk(1)), short)
+    own = grouped_sets(groups)
+    paths = own.mapInArrow(tidy(walk(DEPTH - 1, range(FIRST, runs))), walked).unionByName(own.select("rep", "component").join(rest, "rep"))
+    more_edges, rest = compared(checkpointed(paths))
+    edges, groups = edges.unionByName(more_edges), None
+    number, turn, dense = classes.count(), 0, None
+    while not rest.isEmpty():
+        cost = rest.groupBy("node").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+        if cost <= PAIRS * number or turn > DEEPER:
+            # what is left costs little, or is large and mixed at the last level: compared where it stands, in pairs of blocks
+            members = rest.join(sketched, "rep").select(F.col("node").alias("component"), F.col("rep").alias("node"), F.lit(1).cast("long").alias("copies"), F.lit(1).alias("load"), "sketch")
+            more_edges, rest = all_pairs(members, alike, BLOCK).select(F.col("node").alias("a"), F.col("label").alias("b")), rest.limit(0)
         else:
-            # what is large and mixed even now is compared where it stands, in pairs of blocks
-            members = paths.join(sketched, "rep").select(F.col("node").alias("component"), F.col("rep").alias("node"), F.lit(1).cast("long").alias("copies"), F.lit(1).alias("load"), "sketch")
-            edges = edges.unionByName(all_pairs(members, alike, BLOCK).select(F.col("node").alias("a"), F.col("label").alias("b")))
+            if dense is None:
+                # a pair that met in large nodes only is found by runs of the sets of such nodes alone, as many as the greater depth takes
+                groups = connected_components(edges)
+                left = mixed(grouped_sets(groups).select("rep", "component").join(rest, "rep")).select("rep").distinct()
+                dense = checkpointed(grouped_sets(groups, left))
+                paths = dense.mapInArrow(tidy(walk(DEPTH - 1, range(runs, runs + more))), walked)
+            else:
+                paths = dense.join(rest, "rep").select("rep", "component", "sketch", "node").mapInArrow(tidy(walk(1)), walked)
+            more_edges, rest = compared(checkpointed(paths))
+            turn += 1
+        edges = edges.unionByName(more_edges)
+        groups = None
+    if groups is None:
         groups = connected_components(edges)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
