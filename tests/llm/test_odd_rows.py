@@ -12,6 +12,7 @@ from tracewright.llm.embedding_dedup import near_embeddings
 from tracewright.llm.jaccard_join import jaccard_join
 from tracewright.llm.language_id import fit_language, identify_language
 from tracewright.llm.license_scan import scan_licenses
+from tracewright.llm.license_texts import TEXTS
 from tracewright.llm.quality import fit_quality, score_quality
 from tracewright.llm.suffix_dedup import drop_repeats
 from tracewright.llm.token_counts import count_tokens
@@ -94,6 +95,18 @@ def test_licenses(spark):
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (15, 4, 0, 10, "apache-2,cc-by-nc,mit")
 
 
+def test_whole_licences(spark):
+    texts = dict([(f"{n}-{label}", text) for n, (label, text, _) in enumerate(TEXTS)])
+    mit = texts["0-mit"]
+    rows = [(k, "Copyright 2020 Jo Doe\n" + text + " and more") for k, text in texts.items()]
+    rows += [("inserted", mit.replace("merge", "merge or join")), ("half", mit[: len(mit) // 3]), ("none", "of the software and of the software in the software")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(k.split("-", 1)[1] in got[k].labels.split(",") and got[k].score == 1 for k in texts)
+    assert got["inserted"].labels == "mit" and 0.95 < got["inserted"].score <= 1
+    assert got["half"].labels == "mit" and got["none"].labels == ""
+    assert got["10-gpl-3"].labels == "gpl-3" and got["5-bsd-3"].labels == "bsd-3"
+
+
 def test_quality_without_labels(spark):
     assert all(r.score == 0.5 and r.kept for r in OPERATORS["op9"](spark, documents(spark)).collect())
 

@@ -1,11 +1,12 @@
 """Operator 8: licence scans by diagonal voting, DataFrame functions only.
 
 Words are hashed in rolling 3-grams, all of them are joined with the template
-positions (a code constant of a few hundred rows, hence broadcast), and each
+positions (a code constant of a few thousand rows, hence broadcast), and each
 hit votes for the diagonal `document position - template position`.  The
-template positions seen on a diagonal are a bit mask; neighbouring diagonals
-(an inserted or lost word shifts by one) are merged by OR-ing their masks, and
-a span is verified by the share of the template's words that it covers.  Hash
+template words seen on a diagonal are bits of longs, one long per `BITS` words,
+so whole licence texts are templates like any phrase; neighbouring diagonals
+(an inserted or lost word shifts by one) are merged by OR-ing their bits, and a
+span is verified by the share of the template's words that it covers.  Hash
 matches are confirmed on the words themselves before they vote.
 
 Every document also sends one sentinel row through the join, so one scan gives
@@ -18,46 +19,38 @@ largest share of a template found in the document, 0 if none.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .license_texts import BASE, NOTICES, TEXTS
+
 K = 3
 NEAR = 2
+BITS = 60
 SENTINEL = -1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Phrases that stand for a licence wherever their words are consecutive.
-BASE = [
-    ("mit", "under the mit license"),
-    ("apache-2", "apache license version 2"),
-    ("cc-by-nc", "cc by nc"),
-]
-#: Notices of public licences; (label, words, least share of the words).
-NOTICES = [
-    ("mit", "released under the mit license", 1.0),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", 0.8),
-    ("apache-2", "licensed under the apache license version 2 0", 1.0),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", 0.8),
-    ("cc-by-nc", "licensed under cc by nc", 1.0),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international", 1.0),
-    ("cc-by", "creative commons attribution 4 0 international", 1.0),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international", 1.0),
-    ("gpl-2", "gnu general public license version 2", 1.0),
-    ("gpl-3", "gnu general public license version 3", 1.0),
-    ("lgpl-3", "gnu lesser general public license version 3", 1.0),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.8),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.8),
-]
-
-
 def templates() -> list[tuple[int, str, list[str], float, bool]]:
     """(number, label, words, least share, is base)."""
-    rows = [(label, text.split(), 1.0, True) for label, text in BASE]
-    rows += [(label, text.split(), least, False) for label, text, least in NOTICES]
-    if any(len(words) - K + 1 > 60 or len(words) < K for _, words, _, _ in rows):
-        raise ValueError("a template has 3 to 62 words: its grams are bits of a long")
-    return [(n, *row) for n, row in enumerate(rows)]
+    rows = [(label, text, 1.0, True) for label, text in BASE] + [(*row, False) for row in NOTICES + TEXTS]
+    out = [(n, label, re.findall("[0-9a-z]+", text.lower()), least, base) for n, (label, text, least, base) in enumerate(rows)]
+    if any(len(words) < K or base and len(words) > BITS for _, _, words, _, base in out):
+        raise ValueError(f"a template has {K} words or more, a base phrase at most {BITS}")
+    return out
+
+
+def places() -> list[tuple]:
+    """(number, place, block, bits of the words it covers there, gram, words in all, label, least, is base) of all grams."""
+    out = []
+    for n, label, words, least, base in templates():
+        for t in range(len(words) - K + 1):
+            for block in sorted({t // BITS, (t + K - 1) // BITS}):
+                mask = sum(1 << (w - block * BITS) for w in range(t, t + K) if w // BITS == block)
+                out.append((n, t, block, mask, words[t : t + K], len(words), label, least, base))
+    return out
 
 
 def _hash(words: list[Column]) -> Column:
@@ -67,12 +60,10 @@ def _hash(words: list[Column]) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     spark = docs.sparkSession
-    table = templates()
-    grams = [(n, t, 1 << t, words[t : t + K], len(words), label, least, base) for n, label, words, least, base in table for t in range(len(words) - K + 1)]
-    places = spark.createDataFrame(grams, "tid int, tpos int, bit long, gram array<string>, t_words int, label string, least double, base boolean")
-    places = places.withColumn("key", _hash([F.col("gram")[i] for i in range(K)]))
-    none = spark.range(1).select(F.lit(SENTINEL).alias("tid"), F.lit(0).alias("tpos"), F.lit(0).cast("long").alias("bit"), F.array().cast("array<string>").alias("gram"), F.lit(0).alias("t_words"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("least"), F.lit(False).alias("base"), F.lit(0).cast("long").alias("key"))
-    places = places.unionByName(none)
+    kinds = "tid int, tpos int, block int, bits long, gram array<string>, t_words int, label string, least double, base boolean"
+    table = spark.createDataFrame([*places(), (SENTINEL, 0, 0, 0, [], 0, None, 0.0, False)], kinds)
+    key = F.when(F.col("tid") == SENTINEL, 0).otherwise(_hash([F.get("gram", F.lit(i)) for i in range(K)]))
+    table = table.withColumn("key", key.cast("long"))
 
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), BETWEEN_WORDS), "")
     rolled = F.transform(
@@ -84,30 +75,30 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )[0]
     cut = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), words.alias("words"))
     cut = cut.select("uid", "id", "words", F.concat(F.array(F.lit(0).cast("long")), rolled).alias("keys"))
-    votes = cut.select("uid", "id", "words", F.posexplode("keys").alias("at", "key")).join(F.broadcast(places), "key")
+    votes = cut.select("uid", "id", "words", F.posexplode("keys").alias("at", "key")).join(F.broadcast(table), "key")
     same = [F.get("words", F.col("at") - 1 + j) == F.get("gram", F.lit(j)) for j in range(K)]
     sentinel = F.col("tid") == SENTINEL
     votes = votes.where((sentinel & (F.col("at") == 0)) | (~sentinel & (F.col("at") > 0) & same[0] & same[1] & same[2]))
     votes = votes.select(
-        "uid", "id", "tid", "t_words", "label", "least", "base",
+        "uid", "id", "tid", "block", "t_words", "label", "least", "base", "bits",
         F.when(sentinel, 0).otherwise(F.col("at") - 1 - F.col("tpos")).alias("diagonal"),
-        F.col("bit").alias("mask"),
         F.when(sentinel, F.size("words")).alias("n_words"),
     ).repartition("uid")
 
-    lines = votes.groupBy("uid", "id", "tid", "t_words", "label", "least", "base", "diagonal").agg(F.bit_or("mask").alias("mask"), F.max("n_words").alias("n_words"))
-    along = Window.partitionBy("uid", "tid").orderBy("diagonal")
+    template = ["uid", "id", "tid", "t_words", "label", "least", "base"]
+    lines = votes.groupBy(*template, "diagonal", "block").agg(F.bit_or("bits").alias("bits"), F.max("n_words").alias("n_words"))
+    along = Window.partitionBy("uid", "tid").orderBy("diagonal", "block")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEAR, F.lit(True))
     lines = lines.withColumn("span", F.sum(fresh.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    full = F.col("base") & (F.bit_count("mask") == F.col("t_words") - K + 1)
+    full = F.col("base") & (F.bit_count("bits") == F.col("t_words"))
     start = F.when(full, F.col("diagonal"))
-    spans = lines.groupBy("uid", "id", "tid", "t_words", "label", "least", "base", "span").agg(
-        F.bit_or("mask").alias("mask"), F.max("n_words").alias("n_words"), F.sum(full.cast("long")).alias("n_full"), F.min(start).alias("first"), F.max(start).alias("last")
+    spans = lines.groupBy(*template, "span", "block").agg(
+        F.bit_or("bits").alias("bits"), F.max("n_words").alias("n_words"), F.sum(full.cast("long")).alias("n_full"), F.min(start).alias("first"), F.max(start).alias("last")
+    )
+    spans = spans.groupBy(*template, "span").agg(
+        F.sum(F.bit_count("bits")).alias("covered"), F.max("n_words").alias("n_words"), F.sum("n_full").alias("n_full"), F.min("first").alias("first"), F.max("last").alias("last")
     )
-    covered = F.col("mask")
-    for i in range(1, K):
-        covered = covered.bitwiseOR(F.shiftleft("mask", i))
-    share = F.when(F.col("t_words") > 0, F.bit_count(covered) / F.col("t_words")).otherwise(0.0)
+    share = F.when(F.col("t_words") > 0, F.col("covered") / F.col("t_words")).otherwise(0.0)
     spans = spans.withColumn("share", share)
     is_base = F.col("n_full") > 0
     noticed = ~F.col("base") & (F.col("t_words") > 0) & (F.col("share") >= F.col("least"))
@@ -137,20 +128,20 @@ cut AS (
 rolled AS (
   SELECT uid, pos, words[pos] || ' ' || words[pos + 1] || ' ' || words[pos + 2] AS gram
   FROM (SELECT uid, words, unnest(range(1, len(words) - {K - 2})) AS pos FROM cut)),
+hits AS (
+  SELECT uid, tid, label, t_words, least, base, pos - 1 - tpos AS diagonal, tpos + unnest(range({K})) AS word
+  FROM rolled JOIN places USING (gram)),
 lines AS (
-  SELECT uid, tid, label, t_words, least, base, pos - 1 - tpos AS diagonal, bit_or(1::BIGINT << tpos::INT) AS mask
-  FROM rolled JOIN places USING (gram) GROUP BY ALL),
+  SELECT uid, tid, label, t_words, least, base, diagonal, list(DISTINCT word) AS seen FROM hits GROUP BY ALL),
 marked AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER along <= {NEAR} THEN 0 ELSE 1 END AS fresh, base AND bit_count(mask) = t_words - {K - 1} AS whole
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER along <= {NEAR} THEN 0 ELSE 1 END AS fresh, base AND len(seen) = t_words AS whole
   FROM lines WINDOW along AS (PARTITION BY uid, tid ORDER BY diagonal)),
 spanned AS (
   SELECT *, sum(fresh) OVER (PARTITION BY uid, tid ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
-spans AS (
-  SELECT uid, tid, label, t_words, least, base, span, bit_or(mask) AS mask, count(*) FILTER (whole) AS n_full,
-         min(diagonal) FILTER (whole) AS first, max(diagonal) FILTER (whole) AS last
-  FROM spanned GROUP BY uid, tid, label, t_words, least, base, span),
 shares AS (
-  SELECT *, bit_count(mask | (mask << 1) | (mask << 2))::DOUBLE / t_words AS share FROM spans),
+  SELECT uid, tid, label, least, base, span, count(*) FILTER (whole) AS n_full,
+         min(diagonal) FILTER (whole) AS first, max(diagonal) FILTER (whole) AS last, len(list_distinct(flatten(list(seen))))::DOUBLE / t_words AS share
+  FROM spanned GROUP BY uid, tid, label, t_words, least, base, span),
 found AS (
   SELECT uid, sum(n_full) AS n_base, min(first) AS first_word, max(last) AS last_word,
          array_to_string(list_sort(list(DISTINCT label) FILTER (n_full > 0)), ',') AS base_labels,
