@@ -11,8 +11,13 @@ Fitting uses a bounded sample (`sample` rows at most, `per_label` of each label,
 chosen by hash, so the choice does not depend on partitioning); scoring is one
 narrow pass over all rows.
 
+A text is `familiar` if its best language scores no lower than the languages of
+the sample's own texts do, less a margin (`SLACK` times the distance from their
+median to their smallest score): texts in no learned language are not.
+
 Defined cases: `und` with score 0 where the text is null or holds no letter, and
-everywhere if nothing can be learned; a row without an id is neither held out
+everywhere if nothing can be learned (then any text with a letter is familiar);
+a row without an id is neither held out
 nor learned from; ties go to the smaller label; repeated rows each give a row.
 """
 
@@ -34,6 +39,7 @@ ROWS = 64
 CHUNK = 1 << 20
 SALTS = 64
 UNKNOWN = "und"
+SLACK = 0.5
 
 
 def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -89,14 +95,16 @@ class LanguageModel:
         a = np.linalg.solve((z * weight[:, None]).T @ z + damp, (z * weight[:, None]).T @ y)
         self.matrix = (marks.T @ (nystrom @ a[:-1])).astype(np.float32)
         self.bias = a[-1].astype(np.float32)
+        own = (z @ a)[y > 0]
+        self.floor = float(own.min() - SLACK * (np.median(own) - own.min()))
 
-    def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best label and its share, of each row."""
+    def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the best label, its share, and whether it is familiar, of each row."""
         x = vectors.astype(np.float32)
         s = (x @ self.matrix) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + self.bias
         best = s.argmax(1)
         e = np.exp(4.0 * (s - s.max(1, keepdims=True)).astype(np.float64))
-        return best, 1.0 / e.sum(1)
+        return best, 1.0 / e.sum(1), s.max(1) >= self.floor
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -129,7 +137,7 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def identify_language(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row; `keep` names columns to pass through after them."""
+    """(id, held_out, lang_pred, score, familiar) of every row; `keep` names columns to pass through after them."""
     bounded_batches(docs.sparkSession)
     keep = keep or []
 
@@ -137,19 +145,20 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, id_col: str
         for batch in batches:
             text = batch.column(2)
             known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(text), np.int64), np.zeros(len(text))
+            best, score, familiar = np.zeros(len(text), np.int64), np.zeros(len(text)), known.copy()
             if model is not None:
                 for start, end, m in text_presence(text.fill_null("")):
-                    best[start:end], score[start:end] = model.score(m)
+                    best[start:end], score[start:end], near = model.score(m)
+                    familiar[start:end] &= near
             else:
                 known[:] = False
             names = [*(model.labels if model else []), UNKNOWN]
             best[~known], score[~known] = len(names) - 1, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.string()).take(pa.array(best)), pa.array(score), *batch.columns[3:]], ["id", "held_out", "lang_pred", "score", *kept])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(names, pa.string()).take(pa.array(best)), pa.array(score), pa.array(familiar), *batch.columns[3:]], ["id", "held_out", "lang_pred", "score", "familiar", *kept])
 
     kept = [f"k{i}" for i in range(len(keep))]
     kinds = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), held_out(id_col, folds, fold), F.col(text_col), *[F.col(c) for c in keep])
-    out = out.mapInArrow(tidy(run), f"id {kind}, held_out boolean, lang_pred string, score double{kinds}")
-    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
+    out = out.mapInArrow(tidy(run), f"id {kind}, held_out boolean, lang_pred string, score double, familiar boolean{kinds}")
+    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "familiar", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])

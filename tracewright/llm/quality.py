@@ -1,14 +1,15 @@
 """Operator 9: quality scores by co-training of two views.
 
 One classifier sees the text's content (byte shares, symbols, repeated words),
-the other the page's metadata (source, language, length and line layout).  Over
-several rounds each labels the pool documents that it is surest of and hands
-them to the other.  Both are then calibrated on labelled rows that neither was
-fitted on, and the calibrated views are combined into one score.
+the other the page's metadata (source, language, stated length); no number goes
+into both.  Over several rounds each labels the pool documents that it is surest
+of and hands them to the other.  Each is then calibrated on labelled rows that
+neither was fitted on, and the calibrated views are combined into one score on
+labelled rows that took no part in either.
 
 Fitting takes bounded samples, chosen by hash and so independent of the
-partitioning: `per_class` labelled rows of each class and `pool` unlabelled rows
-at most.  Scoring is one narrow pass over all documents.
+partitioning: `per_class` labelled rows of each class, and `pool` rows without
+labels for the rounds.  Scoring is one narrow pass over all documents.
 
 Defined cases: a null text is an empty one; nulls in metadata are a value of
 their own; rows without an id are scored but not learned from; of several labels
@@ -33,6 +34,7 @@ SALTS = 64
 SOURCES = 32
 LANGS = 16
 SURE = 0.97
+PARTS = 5  # of the labelled rows one calibrates, one combines, the others fit
 
 
 def text_view(text: pa.Array) -> np.ndarray:
@@ -57,7 +59,7 @@ def text_view(text: pa.Array) -> np.ndarray:
         [
             share[:, 65:91].sum(1), share[:, 97:123].sum(1), share[:, 48:58].sum(1), share[:, 128:].sum(1),
             share[:, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]].sum(1),
-            np.bincount(own[first], minlength=n) / some, most / some, np.log1p(count),
+            np.bincount(own[first], minlength=n) / some, most / some,
             np.bincount(words.row, weights=words.end - words.start, minlength=n) / some,
         ], 1,
     )
@@ -71,20 +73,12 @@ def _codes(column: pa.Array, size: int) -> np.ndarray:
     return np.eye(size, dtype=np.float32)[at]
 
 
-def metadata_view(text: pa.Array, source: pa.Array, lang: pa.Array, chars: pa.Array) -> np.ndarray:
-    """Metadata of each page: source, language, stated length, line layout."""
-    raw, offsets = utf8(text)
-    n = len(text)
-    ends = np.flatnonzero(raw == 10)
-    row = np.searchsorted(offsets, ends, "right") - 1
-    lines = np.bincount(row, minlength=n) + 1
-    edge = np.sort(np.concatenate([offsets, ends]))
-    longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, np.minimum(np.searchsorted(offsets, edge[:-1], "right") - 1, n - 1), np.diff(edge))
-    size = np.diff(offsets)
+def metadata_view(source: pa.Array, lang: pa.Array, chars: pa.Array) -> np.ndarray:
+    """Metadata of each page: source, language, stated length."""
     stated = chars.cast(pa.float64()).to_numpy(zero_copy_only=False)
     known = ~np.isnan(stated)
-    numbers = np.stack([np.log1p(np.maximum(np.where(known, stated, 0), 0)), known, np.log1p(lines), np.log1p(size / lines), np.log1p(longest)], 1)
+    size = np.log1p(np.maximum(np.where(known, stated, 0), 0))
+    numbers = np.stack([size, size**2, known], 1)
     return np.hstack([numbers.astype(np.float32), _codes(source, SOURCES), _codes(lang, LANGS)])
 
 
@@ -116,7 +110,8 @@ class CoTrained:
     """Two views, their calibrations and their combination."""
 
     def __init__(self, views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, grow: int = 150):
-        fit, held = np.arange(len(y)) % 3 != 0, np.arange(len(y)) % 3 == 0
+        part = np.arange(len(y)) % PARTS
+        fit, held, last = part > 1, part == 0, part == 1
         own = [([v[fit]], [y[fit]]) for v in views]
         free = np.ones(len(pool[0]), bool)
         for turn in range(rounds + 1):
@@ -131,9 +126,9 @@ class CoTrained:
                     own[1 - k][0].append(pool[1 - k][best])
                     own[1 - k][1].append(np.full(len(best), label))
                     free[best] = False
-        raw = [m.logit(v[held])[:, None] for m, v in zip(self.models, views, strict=True)]
-        self.calibrated = [Logistic(r, y[held]) for r in raw]
-        self.joint = Logistic(np.hstack([c.logit(r)[:, None] for c, r in zip(self.calibrated, raw, strict=True)]), y[held])
+        self.calibrated = [Logistic(m.logit(v[held])[:, None], y[held]) for m, v in zip(self.models, views, strict=True)]
+        each = [c.logit(m.logit(v[last])[:, None]) for c, m, v in zip(self.calibrated, self.models, views, strict=True)]
+        self.joint = Logistic(np.stack(each, 1), y[last])
 
     def score(self, views: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated shares of the text view, the metadata view, and both."""
@@ -150,7 +145,7 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> list:
 
 def _views(batch: pa.RecordBatch, start: int, end: int) -> list[np.ndarray]:
     text, source, lang, chars = (batch.column(i).slice(start, end - start) for i in range(1, 5))
-    return [text_view(text), metadata_view(text, source, lang, chars)]
+    return [text_view(text), metadata_view(source, lang, chars)]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2000, pool: int = 4000) -> CoTrained | None:
@@ -161,8 +156,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     ranked = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").withColumn("h", order)
     for key in (["y", F.pmod("h", F.lit(SALTS))], ["y"]):
         ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("h", "id"))).where(F.col("rn") <= per_class)
-    others = docs.select(F.col(id_col).alias("id")).where("id is not null").withColumn("h", order).orderBy("h", "id").limit(2 * pool)
-    others = others.join(known, "id", "left_anti").orderBy("h", "id").limit(pool)
+    others = docs.select(F.col(id_col).alias("id")).where("id is not null").join(known, "id", "left_anti").withColumn("h", order).orderBy("h", "id").limit(pool)
     chosen = ranked.select("id", "y", "h").unionByName(others.select("id", F.lit(-1).alias("y"), "h"))
     rows = docs.select(*_columns(docs, id_col, text_col)).join(F.broadcast(chosen), "id")  # at most 2 x per_class + pool rows
     rows = rows.select("id", "text", "source", "lang", "n_chars", "y", "h")
@@ -176,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     found = sorted(rows.mapInArrow(tidy(run), "y int, h long, a binary, b binary").collect(), key=lambda r: (r.h, r.a))
     labelled, free = [r for r in found if r.y >= 0], [r for r in found if r.y < 0]
-    if len({r.y for i, r in enumerate(labelled) if i % 3}) < 2 or len({r.y for r in labelled[::3]}) < 2:
+    if any(len({r.y for i, r in enumerate(labelled) if i % PARTS in part}) < 2 for part in ((0,), (1,), range(2, PARTS))):
         return None
 
     def matrices(rows: list, width: tuple[int, int]) -> list[np.ndarray]:
