@@ -6,14 +6,17 @@ that are not marked yet are marked first, found by running Karp-Rabin over
 windows of a falling length, and tiles never overlap.  The share of an item's
 words under tiles decides, so passages count in any order.
 
-The benchmark is held by every task in parts of a bounded size (`part_bytes` of
-text, by the files' size): a larger benchmark means more passes over the
-documents, not a larger broadcast.  Each pass is narrow, there is no shuffle of
-documents, and a hot passage costs each document only its own tiling.
-
-Defined cases: null and empty texts match nothing; items of fewer than five
-words match nothing; items with the same words are one, under their smallest
-id; null ids pass through; every row of the documents is judged on its own.
+Items with the same words are one, under their smallest id; that is settled over
+the whole benchmark before it is dealt, by the hash of the words, into parts of a
+bounded size (`part_bytes` of text, summed and not estimated).  The driver holds
+one part at a time and hands it out as a broadcast variable: a larger benchmark
+means more passes over the documents, not a larger broadcast, and gives the same
+rows.  Each pass is narrow, there is no shuffle of documents, and a hot passage
+costs each document only its own tiling.
+
+Defined cases: null and empty texts match nothing; items without an id, without a
+text or of fewer than five words match nothing; null document ids pass through;
+every row of the documents is judged on its own; item ids have to be integers.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, input_bytes, text_groups, tidy
+from .common import bounded_batches, checkpointed, mix, text_groups, tidy
 from .words import BACK, BASE, Words
 
 SEED = 5
@@ -116,12 +120,12 @@ class Items:
         self.size = np.array([len(p) for p in parts], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.size)))
         self.words = np.concatenate([np.zeros(0, np.uint64), *parts])
-        rows = [(p, k, j) for k, p in enumerate(parts) for j in range(len(p) - SEED + 1)]
-        code = np.array([_windows(p[j : j + SEED], SEED)[0] for p, _, j in rows], np.uint64)
+        whose = np.repeat(np.arange(len(parts)), self.size)
+        at = np.flatnonzero(whose[: max(0, len(whose) - SEED + 1)] == whose[SEED - 1 :])
+        code = _windows(self.words, SEED)[at] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.code = code[order]
-        self.item = np.array([k for _, k, _ in rows], np.int64)[order]
-        self.place = np.array([j for _, _, j in rows], np.int64)[order]
+        self.code, self.item = code[order], whose[at][order]
+        self.place = (at - self.begin[whose[at]])[order]
         self.hint = np.zeros(1 << 20, bool)
         self.hint[(self.code >> np.uint64(44)).astype(np.int64)] = True
 
@@ -160,23 +164,44 @@ class Items:
                 yield int(row[a]), k, [(p, int(where[t]), n) for p, t, n in found]
 
 
-def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = 32 << 20) -> Iterator[Items]:
-    """The benchmark in parts that each fit a broadcast."""
-    parts = max(1, -(-input_bytes(benchmark) // part_bytes))
+def distinct_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(id, text, deal): one row for each different list of at least five words, under its smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in text_groups(batch.column(1)):
+                words = Words(batch.column(1).slice(start, end - start))
+                size = np.diff(words.first)
+                step = np.arange(len(words.hash), dtype=np.uint64) - np.repeat(words.first[:-1], size).astype(np.uint64)
+                sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(words.hash + mix(step + np.uint64(salt << 32))), dtype=np.uint64))) for salt in (1, 2)]
+                names = [pa.array(np.diff(x[words.first]).view(np.int64)) for x in sums]
+                out = pa.RecordBatch.from_arrays([*[c.slice(start, end - start) for c in batch.columns], *names], ["id", "text", "w1", "w2"])
+                yield out.filter(pa.array(size >= SEED))
+
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    rows = rows.mapInArrow(tidy(run), "id long, text string, w1 long, w2 long")
+    return rows.groupBy("w1", "w2").agg(F.min(F.struct("id", "text")).alias("x")).select("x.*", F.col("w1").alias("deal"))
+
+
+def benchmark_parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = 8 << 20) -> Iterator[Broadcast]:
+    """The benchmark as broadcast variables of bounded size, one after the other."""
+    rows = checkpointed(distinct_items(benchmark, id_col, text_col))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // part_bytes))
     for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        yield Items([r.id for r in own], [r.text for r in own])
+        own = rows.where(F.pmod("deal", F.lit(parts)) == part).collect()
+        yield rows.sparkSession.sparkContext.broadcast(Items([r.id for r in own], [r.text for r in own]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
     """(id, item, coverage, n_tiles, n_words, tiles): one row per document and item at or above the threshold."""
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = None
-    for items in benchmark_parts(benchmark, item_col, item_text_col):
+    for part_items in benchmark_parts(benchmark, item_col, item_text_col, part_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = part_items) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for batch in batches:
                 for start, end in text_groups(batch.column(1)):
                     rows = list(items.matches(Words(batch.column(1).slice(start, end - start)), threshold))
@@ -199,13 +224,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
     """The documents, with all their columns, that no item reaches the threshold in."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for items in benchmark_parts(benchmark, item_col, item_text_col):
+    for part_items in benchmark_parts(benchmark, item_col, item_text_col, part_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = part_items) -> Iterator[pa.RecordBatch]:
+            items = shared.value
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for start, end in text_groups(batch.column(at)):
