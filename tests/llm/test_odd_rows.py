@@ -80,6 +80,15 @@ def test_language(spark):
     assert got[1].lang_pred != "und" and 0 < got[1].score <= 1
 
 
+def test_texts_in_no_learned_language_are_not_familiar(spark):
+    rows = [(i, SENTENCE + f" number {i}", "en") for i in range(20)] + [(50, "日本語の文章がここにあります。", None), (51, "Это русский текст о погоде", None), (52, "1234", None), (53, None, None), (54, "a fox", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.familiar for r in identify_language(docs, fit_language(docs)).collect()}
+    assert [got[i] for i in (0, 19, 50, 51, 52, 53, 54)] == [True, True, False, False, False, False, True]
+    got = {r.doc_id: r.familiar for r in identify_language(docs, None).collect()}
+    assert [got[i] for i in (0, 50, 52, 53)] == [True, True, False, False]  # nothing learned: a letter is enough
+
+
 def test_token_files(spark):
     rows = OPERATORS["op6"](spark, documents(spark)).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 10, 11, 12, None, None]
@@ -144,5 +153,5 @@ def test_extra_columns_pass_through_the_pipeline(spark, tmp_path):
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     left = {r.doc_id for r in docs.select("doc_id").collect()}
-    assert 4 not in left and 7 in left and 1 not in left and 9 in left
+    assert 4 not in left and 7 in left and 1 not in left and 9 not in left  # null, kept, contaminated, in another script
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()

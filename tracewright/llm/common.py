@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,11 +46,15 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else os.path.join(tempfile.gettempdir(), "tracewright-shared")
+        found = kept.get() if kept.isDefined() else None
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), "tracewright-shared")
     return found.rstrip("/")
 
 

@@ -11,9 +11,9 @@ Fitting uses a bounded sample (`sample` rows at most, `per_label` of each label,
 chosen by hash, so the choice does not depend on partitioning); scoring is one
 narrow pass over all rows.
 
-A text is `familiar` if its best language scores no lower than the languages of
-the sample's own texts do, less a margin (`SLACK` times the distance from their
-median to their smallest score): texts in no learned language are not.
+A text is `familiar` if at least `KNOWN` of its n-grams occur in the sample's
+texts: one in another script, or of random letters, is not, whatever language
+its few known n-grams resemble most.
 
 Defined cases: `und` with score 0 where the text is null or holds no letter, and
 everywhere if nothing can be learned (then any text with a letter is familiar);
@@ -39,7 +39,7 @@ ROWS = 64
 CHUNK = 1 << 20
 SALTS = 64
 UNKNOWN = "und"
-SLACK = 0.5
+KNOWN = 0.5
 
 
 def presence(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -95,8 +95,7 @@ class LanguageModel:
         a = np.linalg.solve((z * weight[:, None]).T @ z + damp, (z * weight[:, None]).T @ y)
         self.matrix = (marks.T @ (nystrom @ a[:-1])).astype(np.float32)
         self.bias = a[-1].astype(np.float32)
-        own = (z @ a)[y > 0]
-        self.floor = float(own.min() - SLACK * (np.median(own) - own.min()))
+        self.known = vectors.any(0).astype(np.float32)
 
     def score(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the best label, its share, and whether it is familiar, of each row."""
@@ -104,7 +103,7 @@ class LanguageModel:
         s = (x @ self.matrix) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + self.bias
         best = s.argmax(1)
         e = np.exp(4.0 * (s - s.max(1, keepdims=True)).astype(np.float64))
-        return best, 1.0 / e.sum(1), s.max(1) >= self.floor
+        return best, 1.0 / e.sum(1), x @ self.known >= KNOWN * x.sum(1)
 
 
 def held_out(id_col: str, folds: int, fold: int):

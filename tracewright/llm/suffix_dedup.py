@@ -17,10 +17,13 @@ strings with one anchor form a run, and a run is one small record
 Before each shuffle a task drops its own repeats and keeps the first, and an
 anchor with several runs in one piece of text goes to step 3 without being
 shuffled, so no anchor, passage or copy gathers in one task.  Records travel as
-packed arrays.  Fingerprints have 128 bits; step 2 compares bytes.
+packed arrays.  Step 2 compares bytes.  A run is named by 64 bits of its anchor
+and 64 of its bytes, a string of step 3 by 128 bits of its own.
 
 Defined cases: a null text is empty; texts shorter than 100 bytes stay whole; a
-row without an id comes after all others; rows that repeat an id come in the
+row without an id comes after all others; a cut may go through a character, whose
+other bytes count as kept (in `kept_sha256` and the sizes) but cannot stand in
+`kept_text`, which leaves them out; ids have to be integers; rows that repeat an id come in the
 order of a hash of their text, and rows equal in id and text are one document
 whose result each of them gets; an empty table gives no rows.
 """
