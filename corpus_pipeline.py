@@ -14,7 +14,7 @@ from tracewright.llm.bpe_codec import encode_decode
 from tracewright.llm.common import scratch_path
 from tracewright.llm.decontamination import drop_contaminated
 from tracewright.llm.jaccard_join import jaccard_join
-from tracewright.llm.language_id import UNKNOWN, fit_language, identify_language
+from tracewright.llm.language_id import fit_language, identify_language
 from tracewright.llm.suffix_dedup import drop_repeats
 
 
@@ -31,10 +31,14 @@ def back(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; texts without a letter (`und`) go."""
+    """Documents in a learned language stay.
+
+    Texts without a letter go, and those that the classifier finds unlike every language it
+    learned (not `familiar`).  Where nothing could be learned only the first rule is left.
+    """
     own = apart(docs)
     found = identify_language(own, fit_language(docs), id_col=OWN + "doc_id", text_col=OWN + "text", keep=[c for c in own.columns if c != OWN + "doc_id"])
-    return back(found.where(F.col("lang_pred") != UNKNOWN), docs)
+    return back(found.where("familiar"), docs)
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
