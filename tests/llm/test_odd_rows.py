@@ -155,3 +155,35 @@ def test_extra_columns_pass_through_the_pipeline(spark, tmp_path):
     left = {r.doc_id for r in docs.select("doc_id").collect()}
     assert 4 not in left and 7 in left and 1 not in left and 9 in left
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_texts_of_many_megabytes(spark):
+    """One text of 6 MB, a copy of its second half, and a short one between them."""
+    words = " ".join(f"w{i * 7919 % 100_003} und {i % 311}" for i in range(440_000))
+    rows = [(1, words, "en"), (2, SENTENCE, "en"), (3, words[len(words) // 2 :], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    size = [len(r[1]) for r in rows]
+    assert size[0] > 6_000_000
+    for name in ("op3", "op6", "op7", "op8", "op9", "op10", "op5"):
+        assert sorted(r.doc_id for r in OPERATORS[name](spark, docs).collect()) == [1, 2, 3], name
+    got = by_id(OPERATORS["op2"](spark, docs))
+    assert [got[i].n_bytes for i in (1, 2, 3)] == size and got[2].n_removed == 0 and got[3].n_removed == size[2]
+    found = {(r.doc_id, r.item_id) for r in OPERATORS["op1"](spark, docs).collect()}
+    assert found == {(2, 1)}
+    counts = {name: by_id(OPERATORS[name](spark, docs)) for name in ("op6", "op7")}
+    assert all(counts["op6"][i].n_tokens == counts["op7"][i].n_tokens + 1 for i in (1, 2, 3))
+
+
+def test_token_files_go_once_they_are_read(spark):
+    import os
+
+    from tracewright.llm.common import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = store_and_read(documents(spark), WORD, 2)
+    assert rows.count() == documents(spark).count()
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("tracewright-tokens")]
+    kept = store_and_read(documents(spark), WORD, 2, keep_files=True)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    assert [x for x in set(os.listdir(folder)) - before if x.startswith("tracewright-tokens")]

@@ -105,3 +105,11 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_dedup", "suffix_dedup", "decontamination", "bpe_codec"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).dtypes == docs.dtypes
+
+
+def test_documents_that_share_an_id_go_by_their_own_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(0, a), (1, a + " x"), (1, b), (2, None), (2, ""), (3, b + " y")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.jaccard_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in left) == sorted([(0, a), (1, b), (2, ""), (2, "")])

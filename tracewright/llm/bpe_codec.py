@@ -168,7 +168,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         codec = codec_for(tokenizer)
         for batch in batches:
             text = batch.column(1).fill_null("")
-            for start, end in text_groups(text, GROUP_BYTES):
+            for start, end in text_groups(text, GROUP_BYTES // 2):  # ids and decoded texts are held beside them
                 flat, size = codec.encode_flat(text.slice(start, end - start).to_pylist())
                 plain = codec.decode_flat(flat, size)
                 counts = pa.array(size)

@@ -142,10 +142,10 @@ def _unpack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links, component_id, kept): links count all other documents of at least the threshold."""
+    """(id, class_id, n_links, component_id, kept, text_hash): links count all other documents of at least the threshold; the hash is Spark's xxhash64."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tag"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +154,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
                 row, code = Words(batch.column(1).slice(start, n)).shingles(shingle)
                 size, *sums = set_hashes(row, code, n)
                 rows = sketches(row, code, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), *[pa.array(h, mask=size == 0) for h in sums], pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "h1", "h2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), batch.column(2).slice(start, n), *[pa.array(h, mask=size == 0) for h in sums], pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "tag", "h1", "h2", "sketch"])
 
-    sets = checkpointed(base.mapInArrow(tidy(sketch), "id long, h1 long, h2 long, sketch binary"))
+    sets = checkpointed(base.mapInArrow(tidy(sketch), "id long, tag long, h1 long, h2 long, sketch binary"))
     classes = sets.where("id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
     runs, more = runs_for(recall, threshold), runs_for(recall, threshold, DEPTH + DEEPER)
@@ -270,12 +270,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, reca
     low = smallest_ids(classes.select(F.col("rep").alias("node"), "least"), parts, parts.count())
     result = classes.select("h1", "h2", "rep", "least", "copies").join(links.withColumnRenamed("node", "rep"), "rep", "left").join(low.select(F.col("node").alias("rep"), F.col("least").alias("component")), "rep", "left")
     result = result.select("h1", "h2", F.col("least").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"), F.col("copies").alias("n"))
-    mine = sets.where("id is not null and h1 is not null").select("id", "h1", "h2")
+    mine = sets.where("id is not null and h1 is not null").select("id", "tag", "h1", "h2")
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    joined = join_counted(mine, result, ["h1", "h2"], total).select("id", "class_id", "n_links", "component")
-    alone = sets.where("id is null or h1 is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    joined = join_counted(mine, result, ["h1", "h2"], total).select("id", "tag", "class_id", "n_links", "component")
+    alone = sets.where("id is null or h1 is null").select("id", "tag", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True))
-    return joined.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+    return joined.unionByName(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("component").alias("component_id"), kept.alias("kept"), F.col("tag").alias("text_hash"))
 
 
 def set_hashes(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

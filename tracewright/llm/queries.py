@@ -63,7 +63,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+    return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

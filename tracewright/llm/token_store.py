@@ -240,8 +240,18 @@ def read_tokens(spark: SparkSession, files: DataFrame, path: str, id_col: str =
     return out.withColumnsRenamed({"id": id_col, "last": "ids_crc32" if checks else "ids"})
 
 
-def store_and_read(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the token files below the shared folder and reads them back."""
+def store_and_read(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_files: bool = False) -> DataFrame:
+    """Writes the token files below the shared folder and reads them back.
+
+    The rows read are written as a table of their own, after which the files go, with those
+    that failed tries left; `keep_files` leaves them.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
-    return read_tokens(spark, write_tokens(docs, tokenizer, path, end_id, id_col, text_col), path, id_col, checks=True)
+    found = read_tokens(spark, write_tokens(docs, tokenizer, path, end_id, id_col, text_col), path, id_col, checks=True)
+    if keep_files:
+        return found
+    found = checkpointed(found)
+    store, folder = _store(path)
+    store.delete_dir(folder)
+    return found
