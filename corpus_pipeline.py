@@ -42,9 +42,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest id."""
-    gone = jaccard_join(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays: the one of the smallest id (rows that share it stay or go by their own texts)."""
+    gone = jaccard_join(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    own = apart(docs)
+    left = own.join(gone, (F.col(OWN + "doc_id") == F.col("gone_id")) & (F.xxhash64(OWN + "text") == F.col("gone_hash")), "left_anti")
+    return back(left, docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
