@@ -33,3 +33,14 @@ def test_edges_cost_nothing_until_walked(spark, sf_dir):
 
     p = plan(word_count(Tables(spark, sf_dir))[1].data)
     assert "Join" not in p and "collect_list" not in p
+
+
+def test_a_walk_back_from_a_group_by_its_key_is_one_filtered_scan(spark, sf_dir):
+    """The groups are not computed: the key's condition goes to the exploded words, whose ids hold the documents' ids."""
+    from pyspark.sql import functions as F
+
+    from tracewright.plans.provenance_queries import word_count
+
+    at = word_count(Tables(spark, sf_dir))[1].lineage().where(F.col("word") == "license.").go_back_all()
+    p = plan(at.ids)
+    assert p.count("Scan parquet") == 1 and "Join" not in p and "license." in p

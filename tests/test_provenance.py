@@ -46,6 +46,52 @@ def test_guard_keeps_every_record_somewhere(spark):
     assert g.modify({"x": F.lit(5).cast("long")}).count() == 100
 
 
+def test_the_function_runs_once_a_record(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def function(record):
+        calls.add(1)
+        return 10 // record["x"]
+
+    g = guarded(spark.range(30).withColumn("x", F.col("id") % 3), function, "long", "id")
+    assert g.ok.count() == 20 and g.quarantine.count() == 10 and g.skip().count() == 20
+    assert calls.value == 30
+    assert g.modify({"x": F.lit(5).cast("long")}).count() == 30
+    assert calls.value == 40  # the failed records only
+    assert g.resolve(0, "skip").quarantine.count() == 9 and calls.value == 40
+    fixed = g.fix(lambda r: 0)
+    assert fixed.ok.count() == 30 and fixed.quarantine.count() == 0 and calls.value == 40
+
+
+def test_functions_see_nulls_as_none_and_wrong_kinds_are_failures(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5), (3, 7)], "id long, x long")
+    seen = guarded(rows, lambda r: r["x"] is None, "boolean", "id")
+    assert {r.id: r.result for r in seen.ok.collect()} == {1: True, 2: False, 3: False}
+    odd = guarded(rows, lambda r: "text" if r["id"] == 2 else r["x"], "long", "id")
+    assert {r.id: r.result for r in odd.ok.collect()} == {1: None, 3: 7} and [r.rid for r in odd.quarantine.collect()] == [2]
+
+
+def test_text_lines_have_ids_without_a_copy(spark, tmp_path):
+    for part in "ab":
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "x.txt").write_text("same\nother\nsame\n")
+    lines = TracedFrame.source(spark.read.text([str(tmp_path / p) for p in "ab"]))
+    assert lines.df.select(RID).distinct().count() == 6
+    assert "Scan text" in lines.df._jdf.queryExecution().simpleString()
+    groups = lines.group_by(["value"], F.count("*").alias("n"))
+    back = groups.lineage().where("value = 'same'").go_back().dump()
+    assert back.count() == 4 and {r[RID].path.rsplit("/", 2)[1] for r in back.collect()} == {"a", "b"}
+
+
+def test_union_keeps_ids_of_unlike_kinds_apart(spark):
+    a = TracedFrame.source(spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:00.000001' AS k, 'x' AS v UNION ALL SELECT TIMESTAMP '2024-01-01 00:00:00.000002', 'y'"), ["k"]).select("v")
+    b = TracedFrame.source(spark.sql("SELECT 1 AS j, 'z' AS v"), ["j"]).select("v")
+    both = a.union(b)
+    assert both.df.select(RID).distinct().count() == 3
+    assert [r.v for r in both.lineage().where("v = 'y'").go_back(0).show().collect()] == ["y"]
+    assert both.replay(b, b.df.limit(0)).count() == 2
+
+
 def test_lazy_repair_stops_at_its_limit(spark):
     g = guarded(spark.range(20), lambda r: 1 // 0, "long", "id")
     try:

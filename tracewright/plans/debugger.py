@@ -2,8 +2,9 @@
 
 All state is DataFrames.  A watchpoint leaves the flow as it is and offers the
 matching records on the side.  A guarded step runs a Python function on each
-record and keeps failures as rows: they are skipped, repaired at once, or
-repaired later and run again.
+record, once: its rows are materialised, failures among them, and everything
+after that (skip, repair at once or later, fix, resolve) reads these rows and
+runs the function on the failed records only.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .storage import reliable
 
@@ -119,42 +121,58 @@ class Guarded:
         return Guarded(rest, self.result, self.record, self.function, self.rid, self.kind)
 
 
+def _column(values: list, errors: list, kind: pa.DataType) -> pa.Array:
+    """Values as an Arrow column; one that is not of the kind becomes a failure of its record."""
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowException, TypeError, ValueError, OverflowError):
+        for i, v in enumerate(values):
+            try:
+                pa.array([v], kind)
+            except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
+                values[i], errors[i] = None, f"{type(e).__name__}: {e}"
+        return pa.array(values, kind)
+
+
 def guarded(df: DataFrame, function: Callable[[dict], Any], result: str | T.DataType, rid: str, kind: str = "map") -> Guarded:
-    """Runs a function on each record (a dict); failures are kept as `__error`.  kind: map, filter or flat_map."""
+    """Runs a function once on each record (a dict, nulls are None); failures are kept as `__error`.  kind: map, filter or flat_map."""
     if isinstance(result, str):
         result = T._parse_datatype_string(result)
     schema = T.StructType([*df.schema.fields, T.StructField("result", result), T.StructField("__error", T.StringType())])
-    columns = df.columns
+    columns, arrow = df.columns, to_arrow_type(result)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             values, errors = [], []
-            for record in p.to_dict("records"):
+            for record in batch.to_pylist():
                 try:
                     values.append(function(record))
                     errors.append(None)
                 except Exception as e:  # any failure of the user's function is data here
                     values.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield p.assign(result=pd.Series(values, index=p.index, dtype=object), __error=pd.Series(errors, index=p.index, dtype=object))
+            found = _column(values, errors, arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found, pa.array(errors, pa.string())], [*batch.schema.names, "result", "__error"])
 
-    return Guarded(df.mapInPandas(run, schema), result, columns, function, rid, kind)
+    return Guarded(reliable(df.mapInArrow(run, schema)), result, columns, function, rid, kind)
 
 
 def profiled(df: DataFrame, function: Callable[[dict], Any], result: str, op: str, rid: str) -> DataFrame:
     """(op, rid, value, elapsed_ns) of a function run on each record."""
-    fields = [T.StructField("op", T.StringType()), T.StructField("rid", df.schema[rid].dataType), T.StructField("value", T._parse_datatype_string(result)), T.StructField("elapsed_ns", T.LongType())]
+    kind = T._parse_datatype_string(result)
+    fields = [T.StructField("op", T.StringType()), T.StructField("rid", df.schema[rid].dataType), T.StructField("value", kind), T.StructField("elapsed_ns", T.LongType())]
+    arrow = to_arrow_type(kind)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             values, spans = [], []
-            for record in p.to_dict("records"):
+            for record in batch.to_pylist():
                 start = time.perf_counter_ns()
                 values.append(function(record))
                 spans.append(time.perf_counter_ns() - start)
-            yield pd.DataFrame({"op": op, "rid": p[rid], "value": pd.Series(values, index=p.index, dtype=object), "elapsed_ns": pd.Series(spans, index=p.index)})
+            yield pa.RecordBatch.from_arrays([pa.array([op] * len(spans), pa.string()), batch.column(rid), pa.array(values, arrow), pa.array(spans, pa.int64())], ["op", "rid", "value", "elapsed_ns"])
 
-    return df.mapInPandas(run, T.StructType(fields))
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def latency_summary(profile: DataFrame) -> DataFrame:

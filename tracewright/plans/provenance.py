@@ -5,8 +5,9 @@ recorded steps that led to it.  Narrow steps pass ids through; a step that makes
 new records (explode, aggregation, join, union, distinct) also defines an edge
 table (out_id, in_id) per parent.  Edges are lazy projections of the traced
 input: they cost nothing until a cursor walks them, and Catalyst prunes them
-like any query.  Ids are the key values (structs), never hashes, so distinct
-records never merge.
+like any query; `materialise` writes them once where many walks follow.  Ids are
+the key values (structs), never hashes or texts of them, so distinct records
+never merge.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +31,11 @@ def _id(*columns: Column | str) -> Column:
 
 @dataclass
 class Edge:
-    """(out_id, in_id) between a node and one of its parents."""
+    """(out_id, in_id) between a node and one of its parents; `inside` names the field of out_id that is in_id, if there is one."""
 
     parent: TracedFrame
     rows: DataFrame
+    inside: str | None = None
 
 
 @dataclass
@@ -50,15 +53,22 @@ class TracedFrame:
 
     @staticmethod
     def source(df: DataFrame, key: list[str] | None = None, capture: bool = True) -> TracedFrame:
-        """Records of a table: ids from a unique key, else from file and row position, else materialised numbers."""
+        """Records of a table: ids from a unique key, else from the file's path and the row's place in it.
+
+        Parquet tells the place of a row.  For other files it is the number that the scan gives,
+        which is the same each time in a session, as long as files and scan settings stay.  Rows
+        that come from no file are numbered once and materialised.
+        """
         if key:
             return TracedFrame(df.withColumn(RID, _id(*key)), "source", capture=capture)
-        try:
-            place = df.withColumn(RID, F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")))
-            place.schema  # noqa: B018  fails where the input is not a file
-            return TracedFrame(place, "source", capture=capture)
-        except Exception:
-            return TracedFrame(reliable(df.withColumn(RID, F.monotonically_increasing_id().cast("string"))), "source", capture=capture)
+        path = F.col("_metadata.file_path").alias("path")
+        number = F.monotonically_increasing_id().alias("row")
+        for place in (_id(path, F.col("_metadata.row_index").alias("row")), _id(path, number)):
+            try:
+                return TracedFrame(df.withColumn(RID, place), "source", capture=capture)
+            except AnalysisException:  # no such file format, or no file
+                continue
+        return TracedFrame(reliable(df.withColumn(RID, _id(number))), "source", capture=capture)
 
     @property
     def columns(self) -> list[str]:
@@ -72,8 +82,8 @@ class TracedFrame:
         """A step that keeps the records' ids."""
         return TracedFrame(step(self.df), op, capture=self.capture, rerun=lambda p: step(p[0]), parents=[self])
 
-    def _edges(self, rows: list[tuple[TracedFrame, DataFrame]]) -> list[Edge]:
-        return [Edge(parent, r) for parent, r in rows] if self.capture else []
+    def _edges(self, rows: list[tuple], inside: tuple[str | None, ...] = (None, None)) -> list[Edge]:
+        return [Edge(parent, r, field) for (parent, r), field in zip(rows, inside, strict=False)] if self.capture else []
 
     # narrow steps
 
@@ -108,7 +118,7 @@ class TracedFrame:
             return rows.withColumn(RID, _id(F.col("__in").alias("r"), F.col("__pos").alias("p")))
 
         rows = step(self.df)
-        edges = self._edges([(self, rows.select(F.col(RID).alias("out_id"), F.col("__in").alias("in_id")))])
+        edges = self._edges([(self, rows.select(F.col(RID).alias("out_id"), F.col("__in").alias("in_id")))], ("r",))
         return TracedFrame(rows.drop("__pos", "__in"), "flat_map", edges, self.capture, lambda p: step(p[0]).drop("__pos", "__in"), [self])
 
     def group_by(self, keys: list[str], *aggregates: Column) -> TracedFrame:
@@ -139,7 +149,7 @@ class TracedFrame:
         rows = step(self.df, other.df)
         sides = [(self, rows.where("__l is not null").select(F.col(RID).alias("out_id"), F.col("__l").alias("in_id")))]
         sides.append((other, rows.where("__r is not null").select(F.col(RID).alias("out_id"), F.col("__r").alias("in_id"))))
-        return TracedFrame(rows.drop("__l", "__r"), "join", self._edges(sides), self.capture, lambda p: step(p[0], p[1]).drop("__l", "__r"), [self, other])
+        return TracedFrame(rows.drop("__l", "__r"), "join", self._edges(sides, ("l", "r")), self.capture, lambda p: step(p[0], p[1]).drop("__l", "__r"), [self, other])
 
     def cogroup(self, other: TracedFrame, on: list[str], left: Column, right: Column) -> TracedFrame:
         """A record per key of either side, with one aggregate of each."""
@@ -151,16 +161,20 @@ class TracedFrame:
         return TracedFrame(step(self.df, other.df), "cogroup", self._edges(sides), self.capture, lambda p: step(p[0], p[1]), [self, other])
 
     def union(self, other: TracedFrame) -> TracedFrame:
-        def tagged(d: DataFrame, branch: int) -> DataFrame:
-            return d.withColumn("__in", F.col(RID)).withColumn(RID, _id(F.lit(branch).alias("b"), F.to_json(_id(F.col("__in").alias("r"))).alias("r")))
+        """The records of both; an id names the branch and holds that branch's own id as it is."""
+
+        def tagged(p: list[DataFrame], branch: int) -> DataFrame:
+            kinds = [d.schema[RID].dataType for d in p]
+            ids = [F.col("__in") if i == branch else F.lit(None).cast(kinds[i]) for i in (0, 1)]
+            return p[branch].withColumn("__in", F.col(RID)).withColumn(RID, _id(F.lit(branch).alias("b"), ids[0].alias("l"), ids[1].alias("r")))
 
-        sides = [tagged(p.df, i) for i, p in enumerate((self, other))]
-        edges = self._edges([(p, s.select(F.col(RID).alias("out_id"), F.col("__in").alias("in_id"))) for p, s in zip((self, other), sides, strict=True)])
+        both = [self.df, other.df]
+        edges = self._edges([(p, tagged(both, i).select(F.col(RID).alias("out_id"), F.col("__in").alias("in_id"))) for i, p in enumerate((self, other))], ("l", "r"))
 
         def step(p: list[DataFrame]) -> DataFrame:
-            return tagged(p[0], 0).drop("__in").unionByName(tagged(p[1], 1).drop("__in"))
+            return tagged(p, 0).drop("__in").unionByName(tagged(p, 1).drop("__in"))
 
-        return TracedFrame(step([self.df, other.df]), "union", edges, self.capture, step, [self, other])
+        return TracedFrame(step(both), "union", edges, self.capture, step, [self, other])
 
     def zip_partitions(self, other: TracedFrame, buckets: int, order: str, other_order: str) -> TracedFrame:
         """Positional pairing inside buckets: the i-th record of a bucket meets the i-th of the other side's."""
@@ -173,14 +187,31 @@ class TracedFrame:
         b = TracedFrame(placed(other.df, other_order), "place", capture=self.capture, rerun=lambda p: placed(p[0], other_order), parents=[other])
         return a.join(b, ["__bucket", "__place"]).select(*[c for c in a.columns + b.columns if not c.startswith("__")])
 
+    def zip_three(self, second: TracedFrame, third: TracedFrame, buckets: int, orders: tuple[str, str, str]) -> TracedFrame:
+        """Positional pairing of three sides; the third is zipped to the pairs of the first two."""
+        return self.zip_partitions(second, buckets, orders[0], orders[1]).zip_partitions(third, buckets, orders[0], orders[2])
+
     # queries
 
+    def materialise(self) -> TracedFrame:
+        """Writes the edges of the step that made this frame's records, once; every later walk reads them."""
+        node, edges = self._steps()
+        node.edges = [Edge(e.parent, reliable(e.rows), e.inside) for e in edges]
+        return self
+
+    def aggregate(self, **key) -> DataFrame:
+        """The data of the groups with the given key values."""
+        rows = self.df
+        for name, value in key.items():
+            rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+        return rows.drop(RID)
+
     def collect_with_id(self) -> DataFrame:
         return self.df
 
     def lineage(self) -> Cursor:
         """A cursor on all records of this frame."""
-        return Cursor(self, self.df.select(F.col(RID).alias("id")))
+        return Cursor(self, self.df.select(F.col(RID).alias("id")), by_key=())
 
     def replay(self, source: TracedFrame, rows: DataFrame) -> DataFrame:
         """This frame's data with `source` replaced by other rows (same columns), capture off."""
@@ -203,27 +234,51 @@ class TracedFrame:
 
 @dataclass
 class Cursor:
-    """A selection of record ids at one node; every move is a semi join."""
+    """A selection of record ids at one node.
+
+    A move is a semi join with the edges, or less: where an id holds the parent's id the move
+    is a projection of the selected ids, and a selection of groups by their keys alone goes to
+    the groups' inputs as a filter, so the groups are not computed.
+    """
 
     at: TracedFrame
     ids: DataFrame
     trail: tuple[tuple[TracedFrame, Edge], ...] = ()
+    by_key: tuple[Column | str, ...] | None = None  # the conditions on keys that alone made this selection
 
     def where(self, condition: Column | str) -> Cursor:
         """Keeps the selected records that meet a condition on their data."""
         chosen = self.at.df.where(condition).select(F.col(RID).alias("id"))
-        return Cursor(self.at, self.ids.join(chosen, "id", "left_semi"), self.trail)
+        keyed = None
+        if self.by_key is not None and self._on_keys(condition):
+            keyed = (*self.by_key, condition)
+        return Cursor(self.at, chosen if self.by_key == () else self.ids.join(chosen, "id", "left_semi"), self.trail, keyed)
+
+    def _on_keys(self, condition: Column | str) -> bool:
+        keys = self.at.df.schema[RID].dataType
+        try:
+            self.at.df.sparkSession.createDataFrame([], keys).where(condition)
+            return True
+        except AnalysisException:
+            return False
 
     def where_id(self, condition: Column | str) -> Cursor:
         return Cursor(self.at, self.ids.where(condition), self.trail)
 
     def go_back(self, parent: int = 0) -> Cursor:
         """One step back: the records of a parent that contributed."""
-        _, edges = self.at._steps()
+        node, edges = self.at._steps()
         if not edges:
             raise ValueError("the cursor is at a source, or capture was off")
         edge = edges[parent]
-        found = edge.rows.join(self.ids.withColumnRenamed("id", "out_id"), "out_id", "left_semi")
+        if edge.inside:
+            found = self.ids.select(F.col(f"id.{edge.inside}").alias("in_id")).where("in_id is not null")
+        elif self.by_key and self.at is node and node.op in ("group_by", "cogroup"):
+            found = edge.rows.select("in_id", "out_id.*")
+            for condition in self.by_key:
+                found = found.where(condition)
+        else:
+            found = edge.rows.join(self.ids.withColumnRenamed("id", "out_id"), "out_id", "left_semi")
         return Cursor(edge.parent, found.select(F.col("in_id").alias("id")).distinct(), (*self.trail, (self.at, edge)))
 
     def go_back_all(self, parent: int = 0) -> Cursor:

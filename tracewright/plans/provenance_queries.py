@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import Tables
-from .provenance import TracedFrame
+from .provenance import RID, TracedFrame
+from .storage import scratch
 
 _SPLIT = "string_split(lower(text), ' ')"
 
@@ -108,13 +109,72 @@ def prov_cogroup(t: Tables) -> DataFrame:
     return both.lineage().where("k = 3").go_back(0).show().select("c_custkey")
 
 
-@query("prov_zip_partitions", "SELECT 25 AS n, 25 AS traced")
+@query("prov_zip_partitions", "SELECT n_nationkey, n_name, n_regionkey AS r FROM nation WHERE n_regionkey = 2")
 def prov_zip_partitions(t: Tables) -> DataFrame:
+    """The i-th record of a bucket meets the i-th of the other side's, here its own other half; the pairs lead back to both."""
     a = TracedFrame.source(t.nation.select("n_nationkey", "n_name"), ["n_nationkey"])
     b = TracedFrame.source(t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r")), ["k"])
-    pairs = a.zip_partitions(b, 3, "n_nationkey", "k")
-    traced = pairs.lineage().go_back(0).show().agg(F.count("*").cast("int").alias("traced"))
-    return pairs.data.agg(F.count("*").cast("int").alias("n")).join(traced)
+    at = a.zip_partitions(b, 3, "n_nationkey", "k").lineage().where("r = 2")
+    left, right = at.go_back(0).show().select("n_nationkey", "n_name"), at.go_back(1).show().select("k", "r")
+    return left.join(right, F.col("n_nationkey") == F.col("k")).drop("k")
+
+
+@query("prov_zip_three", "SELECT n_nationkey, n_name, n_regionkey AS r, length(n_name) AS c FROM nation WHERE n_nationkey > 4")
+def prov_zip_three(t: Tables) -> DataFrame:
+    sides = [TracedFrame.source(t.nation.selectExpr(*columns), [columns[0].split()[-1]]) for columns in (("n_nationkey", "n_name"), ("n_nationkey AS k", "n_regionkey AS r"), ("n_nationkey AS j", "length(n_name) AS c"))]
+    found = sides[0].zip_three(sides[1], sides[2], 4, ("n_nationkey", "k", "j")).where("n_nationkey = k and k = j and k > 4")
+    return found.data.select("n_nationkey", "n_name", "r", "c")
+
+
+@query("prov_text_files", "SELECT n_name AS value FROM nation WHERE n_name LIKE 'I%' UNION ALL SELECT n_name FROM nation WHERE n_name LIKE 'I%'")
+def prov_text_files(t: Tables) -> DataFrame:
+    """Lines of text files of equal names in two folders: each line is a record of its own, and nothing is copied."""
+    folder = scratch(t.spark, "prov-text")
+    for part in ("a", "b"):
+        t.nation.select(F.col("n_name").alias("value")).coalesce(1).write.text(f"{folder}/part={part}")
+    lines = TracedFrame.source(t.spark.read.text(f"{folder}/part=*"))
+    counts = lines.flat_map("letter", F.array(F.substring("value", 1, 1))).group_by(["letter"], F.count("*").alias("n"))
+    return counts.lineage().where("letter = 'I'").go_back_all().dump().select("value")
+
+
+@query("prov_equal_file_names", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
+def prov_equal_file_names(t: Tables) -> DataFrame:
+    """Files of one name in two folders hold different records."""
+    folder = scratch(t.spark, "prov-names")
+    rows = t.region.select("r_regionkey", "r_name").coalesce(1)
+    rows.write.parquet(f"{folder}/one")
+    rows.write.parquet(f"{folder}/two")
+    both = TracedFrame.source(t.spark.read.parquet(f"{folder}/one", f"{folder}/two"))
+    return both.df.dropDuplicates([RID]).drop(RID)
+
+
+@query("prov_union_keys", "SELECT ts::VARCHAR AS ts, k FROM (VALUES (TIMESTAMP '2024-01-01 00:00:00.000001', 1), (TIMESTAMP '2024-01-01 00:00:00.000002', 2), (NULL, 3)) x(ts, k) WHERE k <> 1 UNION ALL SELECT r_name, r_regionkey::INT FROM region WHERE r_regionkey > 1")
+def prov_union_keys(t: Tables) -> DataFrame:
+    """Keys of either branch keep their type and precision; a null key is a key."""
+    stamps = t.spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2024-01-01 00:00:00.000001', 1), (TIMESTAMP_NTZ '2024-01-01 00:00:00.000002', 2), (CAST(NULL AS TIMESTAMP_NTZ), 3) x(ts, k)")
+    a = TracedFrame.source(stamps, ["ts"]).with_column("ts", F.col("ts").cast("string"))
+    b = TracedFrame.source(t.region.select(F.col("r_name").alias("ts"), F.col("r_regionkey").cast("int").alias("k")), ["k"])
+    return a.union(b).lineage().where("k > 1").dump().select("ts", "k")
+
+
+@query("prov_sorted_and_repartitioned", "SELECT n_nationkey FROM nation WHERE n_regionkey = 3")
+def prov_sorted_and_repartitioned(t: Tables) -> DataFrame:
+    """Sorting, coalescing and repartitioning move records and keep their ids."""
+    nations = TracedFrame.source(t.nation, ["n_nationkey"]).order_by("n_name").coalesce(2).repartition_and_sort(3, "n_regionkey")
+    return nations.group_by(["n_regionkey"], F.count("*").alias("n")).lineage().where("n_regionkey = 3").go_back().show().select("n_nationkey")
+
+
+@query("prov_materialised_edges", "SELECT c_custkey FROM customer WHERE c_nationkey = 5")
+def prov_materialised_edges(t: Tables) -> DataFrame:
+    """Edges are written once; the walk reads them."""
+    groups = TracedFrame.source(t.customer.select("c_custkey", "c_nationkey"), ["c_custkey"]).group_by(["c_nationkey"], F.count("*").alias("n")).materialise()
+    return groups.lineage().where("c_nationkey = 5").go_back().show().select("c_custkey")
+
+
+@query("prov_get_aggregate", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey = 5 GROUP BY 1")
+def prov_get_aggregate(t: Tables) -> DataFrame:
+    groups = TracedFrame.source(t.customer.select("c_custkey", "c_nationkey"), ["c_custkey"]).group_by(["c_nationkey"], F.count("*").alias("n"))
+    return groups.aggregate(c_nationkey=5)
 
 
 @query("prov_collection_source", "SELECT 'b c' AS line")

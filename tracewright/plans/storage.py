@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that all executors see: below spark.checkpoint.dir, or a local one where Spark runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(named or tempfile.gettempdir()).rstrip('/')}/{name}"
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a local one only where that is unset."""
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tracewright-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "tracewright-checkpoints"))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return shared_folder(spark, f"tracewright-{name}-{uuid.uuid4().hex[:12]}")
