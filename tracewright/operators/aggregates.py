@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..registry import both, query
@@ -113,9 +113,9 @@ def agg_collect_sorted(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"), F.sort_array(F.collect_set(F.length("n_name"))).alias("sizes"))
 
 
-@query("agg_first_last_by", "SELECT o_custkey, arg_min(o_orderkey, o_totalprice) AS cheapest, arg_max(o_orderkey, o_totalprice) AS dearest FROM orders GROUP BY o_custkey")
+@query("agg_first_last_by", "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice, o_orderkey)[1] AS cheapest, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC)[1] AS dearest FROM orders GROUP BY o_custkey")
 def agg_first_last_by(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", "o_totalprice").alias("cheapest"), F.max_by("o_orderkey", "o_totalprice").alias("dearest"))
+    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("cheapest"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"))
 
 
 @query("agg_percentile_exact", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
@@ -147,8 +147,7 @@ def agg_pandas_udaf(t: Tables) -> DataFrame:
 
 @query("agg_reduce_groups", "SELECT n_regionkey, max(n_name) AS last FROM nation GROUP BY n_regionkey")
 def agg_reduce_groups(t: Tables) -> DataFrame:
-    names = F.aggregate(F.collect_list("n_name"), F.lit(""), lambda a, x: F.greatest(a, x))
-    return t.nation.groupBy("n_regionkey").agg(names.alias("last"))
+    return t.nation.groupBy("n_regionkey").agg(F.max("n_name").alias("last"))
 
 
 @query("agg_approx_distinct", "SELECT true AS close")
@@ -166,11 +165,35 @@ def agg_percentile_approx(t: Tables) -> DataFrame:
     return rank.select((F.abs(F.col("r") - 0.5) <= 0.01).alias("close"))
 
 
-@query("agg_count_min_sketch", "SELECT count(*) AS n FROM lineitem")
+@query("agg_count_min_sketch", "SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber")
 def agg_count_min_sketch(t: Tables) -> DataFrame:
-    """The sketch's header holds the exact total."""
-    sketch = t.lineitem.agg(F.count_min_sketch("l_suppkey", F.lit(0.01), F.lit(0.95), F.lit(42)).alias("s"))
-    return sketch.select(F.conv(F.hex(F.substring("s", 5, 8)), 16, 10).cast("long").alias("n"))
+    """A sketch wide enough for its few keys counts them exactly."""
+    found = t.lineitem.agg(F.count_min_sketch(F.col("l_linenumber").cast("long"), F.lit(0.001), F.lit(0.99), F.lit(42)).alias("s")).first().s
+    sketch = t.spark.sparkContext._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(found)
+    keys = [r[0] for r in t.lineitem.select("l_linenumber").distinct().collect()]  # seven
+    return t.spark.createDataFrame([(k, sketch.estimateCount(k)) for k in keys], "l_linenumber int, n long")
+
+
+@query("agg_spread_names", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS deviation, round(stddev_samp(l_tax), 8) AS deviation_of_tax, round(var_samp(l_quantity), 5) AS spread FROM lineitem GROUP BY 1")
+def agg_spread_names(t: Tables) -> DataFrame:
+    """The short names: mean, stddev, std, variance."""
+    return t.sql("SELECT l_returnflag, round(mean(l_quantity), 6) AS mean, round(stddev(l_quantity), 6) AS deviation, round(std(l_tax), 8) AS deviation_of_tax, round(variance(l_quantity), 5) AS spread FROM lineitem GROUP BY 1")
+
+
+@query("agg_few_rows", "SELECT n_regionkey AS n, CASE WHEN count(*) > 1 THEN corr(a, b) END AS r, covar_samp(a, b) AS s, covar_pop(a, b) AS p FROM (SELECT n_regionkey, n_nationkey::DOUBLE AS a, 2 * n_nationkey::DOUBLE AS b, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) WHERE i = 1 GROUP BY 1")
+def agg_few_rows(t: Tables) -> DataFrame:
+    """Of one row there is no correlation and no sample covariance; its own covariance is 0."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    one = t.nation.withColumn("i", F.row_number().over(w)).where("i = 1").select("n_regionkey", F.col("n_nationkey").cast("double").alias("a"), (F.col("n_nationkey") * 2.0).alias("b"))
+    return one.groupBy(F.col("n_regionkey").alias("n")).agg(F.corr("a", "b").alias("r"), F.covar_samp("a", "b").alias("s"), F.covar_pop("a", "b").alias("p"))
+
+
+@query("agg_first_ignoring_nulls", "SELECT n_regionkey, min(n_nationkey) FILTER (n_nationkey > 9) AS first, max(n_nationkey) FILTER (n_nationkey < 15) AS last FROM nation GROUP BY 1")
+def agg_first_ignoring_nulls(t: Tables) -> DataFrame:
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.when(F.col("n_nationkey") > 9, F.col("n_nationkey")), ignorenulls=True).over(w)
+    last = F.last(F.when(F.col("n_nationkey") < 15, F.col("n_nationkey")), ignorenulls=True).over(w)
+    return t.nation.select("n_regionkey", first.alias("first"), last.alias("last")).distinct()
 
 
 @query("agg_bloom_filter", "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
@@ -219,10 +242,16 @@ def agg_count_approx_by_value(t: Tables) -> DataFrame:
     return exact.join(s, "l_returnflag").select("l_returnflag", (F.abs(F.col("k") / share - F.col("n")) <= bound).alias("covered"))
 
 
-@query("agg_observe_accumulator", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 25")
+@query("agg_observe_accumulator", "SELECT count(*) AS rows, count(*) FILTER (l_quantity > 25) AS large, count(*) FILTER (l_quantity > 25) AS n FROM lineitem")
 def agg_observe_accumulator(t: Tables) -> DataFrame:
-    """Counters collected on the way (an accumulator) next to an unchanged result."""
-    return t.lineitem.observe("seen", F.count(F.lit(1)).alias("rows"), F.sum((F.col("l_quantity") > 25).cast("long")).alias("large")).where("l_quantity > 25").agg(F.count("*").alias("n"))
+    """Counters collected on the way (an accumulator), read after the action beside its unchanged result.
+
+    In a session of its own: one that has observed cannot ship fitted models to its executors.
+    """
+    seen = Observation("seen")
+    rows = Tables(t.spark.newSession(), t.sf_dir).lineitem.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum((F.col("l_quantity") > 25).cast("long")).alias("large"))
+    n = rows.where("l_quantity > 25").count()
+    return t.spark.createDataFrame([(seen.get["rows"], seen.get["large"], n)], "rows long, large long, n long")
 
 
 @query("agg_top_by_key", "SELECT l_suppkey, l_extendedprice FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC) AS r FROM lineitem) WHERE r <= 3")

@@ -103,13 +103,16 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def trade(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Nations that buy from nations: customers' nations to suppliers' nations, where many orders run."""
+    """Nations that buy from nations: customers' nations to suppliers' nations with half as many lines again as the mean pair."""
     flows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = flows.where("l_quantity > 49 AND c_nationkey <> s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    return t.nation.select(F.col("n_nationkey").alias("id")), reliable(edges)
+    pairs = flows.where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count("*").alias("n"))
+    pairs = reliable(pairs)
+    edges = pairs.join(F.broadcast(pairs.agg(F.avg("n").alias("mean"))), F.col("n") > 1.5 * F.col("mean"))  # one row
+    return t.nation.select(F.col("n_nationkey").alias("id")), reliable(edges.select("src", "dst"))
 
 
-_EDGES = "SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND c_nationkey <> s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0"
+_PAIRS = "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2"
+_EDGES = f"SELECT src, dst FROM (SELECT *, avg(n) OVER () AS mean FROM ({_PAIRS})) WHERE n > 1.5 * mean"
 _WAYS = f"e AS ({_EDGES}), w AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 

@@ -101,9 +101,9 @@ def join_cogroup(t: Tables) -> DataFrame:
     return orders.groupBy("k").cogroup(customers.groupBy("k")).applyInPandas(merge, "k long, orders long, balance double")
 
 
-@query("join_lateral_view", "SELECT doc_id, word FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE doc_id < 50)")
+@query("join_lateral_view", "SELECT doc_id, count(*) AS n, count(DISTINCT word) AS words FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY doc_id")
 def join_lateral_view(t: Tables) -> DataFrame:
-    return t.sql("SELECT doc_id, word FROM documents LATERAL VIEW explode(split(text, ' ')) x AS word WHERE doc_id < 50")
+    return t.sql("SELECT doc_id, count(*) AS n, count(DISTINCT word) AS words FROM documents LATERAL VIEW explode(split(text, ' ')) x AS word GROUP BY doc_id")
 
 
 @query("join_lateral_view_outer", "SELECT n_nationkey, part FROM (SELECT n_nationkey, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [1, 2] ELSE [NULL]::INT[] END) AS part FROM nation)")

@@ -40,14 +40,17 @@ def rdd_map_partitions(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_totalprice").mapInPandas(double, "o_orderkey long, doubled double")
 
 
-@query("rdd_map_partitions_with_index", "SELECT count(*) AS n FROM orders")
+@query("rdd_map_partitions_with_index", "SELECT o_orderkey % 3 AS k, count(*) AS n, sum(o_totalprice)::DECIMAL(20, 2)::DOUBLE AS total FROM orders GROUP BY 1")
 def rdd_map_partitions_with_index(t: Tables) -> DataFrame:
-    return t.orders.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("k")).agg(F.sum("k").alias("n"))
+    """Rows dealt by key: each key lies in one partition, whose index goes with its rows."""
+    rows = t.orders.select((F.col("o_orderkey") % 3).alias("k"), "o_totalprice").repartition(5, "k").withColumn("p", F.spark_partition_id())
+    by = rows.groupBy("p", "k").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).alias("total"))
+    return by.groupBy("k").agg(F.sum(F.when(F.col("p").isNotNull(), F.col("n"))).alias("n"), F.sum("total").cast("double").alias("total"))
 
 
-@query("rdd_glom", "SELECT count(*) AS n FROM nation")
+@query("rdd_glom", "SELECT list_sort(list(n_name)) AS names, count(*) AS n FROM nation")
 def rdd_glom(t: Tables) -> DataFrame:
-    return t.nation.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("n_name").alias("names")).agg(F.sum(F.size("names")).alias("n"))
+    return t.nation.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("n_name").alias("names")).agg(F.array_sort(F.flatten(F.collect_list("names"))).alias("names"), F.sum(F.size("names")).alias("n"))
 
 
 @query("rdd_group_by_key", "SELECT n_regionkey AS k, list_sort(list(n_name)) AS v FROM nation GROUP BY n_regionkey")
@@ -75,9 +78,9 @@ def rdd_zip_with_index(t: Tables) -> DataFrame:
     return zip_with_index(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "index")
 
 
-@query("rdd_zip_with_unique_id", "SELECT count(*) AS n FROM orders")
+@query("rdd_zip_with_unique_id", "SELECT count(*) AS n, count(*) AS ids, count(DISTINCT o_orderkey) AS keys FROM orders")
 def rdd_zip_with_unique_id(t: Tables) -> DataFrame:
-    return t.orders.select(F.monotonically_increasing_id().alias("id")).agg(F.countDistinct("id").alias("n"))
+    return t.orders.withColumn("id", F.monotonically_increasing_id()).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("o_orderkey").alias("keys"))
 
 
 @query("rdd_zip", "SELECT a.k AS left_key, b.k AS right_key FROM (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a JOIN (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_name DESC) AS i FROM nation) b USING (i)")

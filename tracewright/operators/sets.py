@@ -13,7 +13,7 @@ both("set_union_distinct", "SELECT n_regionkey AS k FROM nation UNION SELECT r_r
 both("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 both("set_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 both("set_intersect_null_safe", "SELECT CASE WHEN n_nationkey > 20 THEN NULL ELSE n_regionkey END AS k FROM nation INTERSECT SELECT CASE WHEN r_regionkey = 0 THEN NULL ELSE r_regionkey END FROM region")
-both("set_union_coerced", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_acctbal FROM customer WHERE c_custkey < 5")
+both("set_union_coerced", "SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_acctbal FROM customer")
 
 
 @query("set_except_all", "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.storage import scratch
 from ..registry import query
 from .tables import Tables
 
 
 def folder(t: Tables, name: str) -> str:
-    """A fresh path in the shared folder of the cluster, or a local one where none is named."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tracewright-files")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder of the cluster."""
+    return scratch(t.spark, name)
 
 
 _PART = "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part"

@@ -170,34 +170,35 @@ def stream_reduce_by_window(t: Tables) -> DataFrame:
     return run(t, stream(t).groupBy(F.window("ts", "2 days").alias("w")).agg(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("top")), "complete").select(_ntz("w.start").alias("start"), "total", "top")
 
 
-@query("stream_rate_source", "SELECT true AS some")
+@query("stream_rate_source", "SELECT 20 AS n, 190 AS total")
 def stream_rate_source(t: Tables) -> DataFrame:
+    """The first batch of a source that counts: 0 to 19."""
     s = t.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 20).load()
     path = folder(t, "rate")
     q = s.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(t, "state")).trigger(once=True).start()
     q.awaitTermination()
-    return t.spark.read.schema(s.schema).parquet(path).agg((F.count("*") >= 0).alias("some"))
+    return t.spark.read.schema(s.schema).parquet(path).where("value < 20").agg(F.count("*").cast("int").alias("n"), F.sum("value").cast("int").alias("total"))
 
 
 
 
-@query("stream_console_and_foreach", "SELECT count(*) AS n FROM events WHERE value > 99")
-def stream_console_and_foreach(t: Tables) -> DataFrame:
+@query("stream_foreach_rows", "SELECT count(*) AS n FROM events WHERE value > 99")
+def stream_foreach_rows(t: Tables) -> DataFrame:
     """A row-wise sink with open, process and close; each partition of a batch leaves one file."""
     path = folder(t, "foreach")
     rows = t.spark.read.parquet(t.path("events")).where("value > 99")
 
     class Keep:
         def open(self, partition: int, epoch: int) -> bool:
-            import os
+            from pyarrow import fs
 
-            base = path.removeprefix("file://")
-            os.makedirs(base, exist_ok=True)
-            self.file = open(f"{base}/{epoch}-{partition}.txt", "w")  # noqa: SIM115  the engine closes it
+            store, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            store.create_dir(base, recursive=True)
+            self.file = store.open_output_stream(f"{base}/{epoch}-{partition}.txt")  # the engine closes it
             return True
 
         def process(self, row) -> None:
-            self.file.write(f"{row.event_id}\n")
+            self.file.write(f"{row.event_id}\n".encode())
 
         def close(self, error) -> None:
             self.file.close()
