@@ -90,6 +90,19 @@ def test_dense_labels_keep_their_pairs(spark, rounds, window):
     assert all(got[i].n_links <= n[i] for i in range(len(x)))
 
 
+def test_tight_groups_take_no_further_passes(spark, monkeypatch):
+    """A large group of near copies beside scattered vectors and pairs: one round of passes, and every link counted."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal(32) + 0.05 * rng.standard_normal((700, 32)), rng.standard_normal((600, 32))])
+    x[700:800] = x[800:900] + 0.05 * rng.standard_normal((100, 32))
+    label = np.zeros(len(x), int)
+    n, root = brute(x, label)
+    asked = []
+    monkeypatch.setattr(embedding_dedup, "_by_label", lambda todo: asked.append(1))
+    got = {r.vec_id: r for r in near_embeddings(vectors(spark, zip(range(len(x)), x.tolist(), label.tolist(), strict=True))).collect()}
+    assert not asked and np.mean([got[i].n_links == n[i] and got[i].component_id == root[i] for i in range(len(x))]) > 0.995
+
+
 def test_small_blocks_of_vectors_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal(16) + 0.04 * rng.standard_normal((n, 16)) for n in (120, 40, 3, 1)])

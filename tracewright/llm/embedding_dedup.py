@@ -14,7 +14,9 @@ with its neighbour at the window's end tell the chance that a pass misses a
 partner of it.  Vectors for which that chance over all passes so far exceeds
 `miss` (those in dense regions) go through further passes, whatever the size of
 the label; what is left after `rounds` times as many is compared exactly, in pairs
-of blocks.
+of blocks.  A vector that is linked with half a window of its neighbours is not
+counted among them: it lies inside a tight group, and a partner of it meets so many
+members of that group that one of them connects the two.
 
 Range partitioning on (pass, label, bits) splits a label of any size; a
 partition's border hides at most `window` neighbours of one pass.
@@ -126,8 +128,12 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
                 if j <= before:
                     continue
                 x, r, code = _matrix(vec.slice(i, j - i)), rep[i:j], bits[i:j]
+                links = np.zeros(j - i, np.int64)
                 for step in range(1, min(window, j - i - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold)
+                    near = np.einsum("ij,ij->i", x[:-step], x[step:]) >= threshold
+                    links[:-step] += near
+                    links[step:] += near
+                    near = np.flatnonzero(near)
                     near = near[near + step >= before - i]
                     a.append(r[near])
                     b.append(r[near + step])
@@ -137,7 +143,8 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.98, passes: int = 1
                     deep[window:] = far + 1
                     deep[:-window] = np.maximum(deep[:-window], far + 1)
                     gained = -np.log1p(-((1 - differ) ** deep).clip(max=1 - 1e-12))
-                    poor = np.flatnonzero((deep > 0) & (gained < usual))  # a row of two batches is told twice: the smaller gain counts
+                    # a row of two batches is told twice: the smaller gain counts
+                    poor = np.flatnonzero((deep > 0) & (gained < usual) & (2 * links < window))
                     who.append(r[poor])
                     turns.append(turn[i + poor])
                     gain.append(gained[poor])
