@@ -1,4 +1,7 @@
-"""Streaming queries on late rows, triggers, sockets, the console and models that learn batch by batch."""
+"""Streaming queries on late rows, triggers, sockets and models that learn batch by batch.
+
+The console sink has no query here, as it would print into the output of whoever runs the catalogue.
+"""
 
 from __future__ import annotations
 
@@ -106,14 +109,6 @@ def stream_socket(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
-@query("stream_console", "SELECT count(*) AS rows FROM events WHERE value > 99")
-def stream_console(t: Tables) -> DataFrame:
-    """The console sink prints a batch and reports its rows like any sink."""
-    q = stream(t, files=1).where("value > 99").writeStream.format("console").option("numRows", 1).option("checkpointLocation", folder(t, "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return t.spark.createDataFrame([(max(0, sum(p["sink"]["numOutputRows"] for p in q.recentProgress)),)], "rows long")
-
-
 @query("stream_glom", "SELECT count(*) AS n, sum(event_id)::BIGINT AS total FROM events")
 def stream_glom(t: Tables) -> DataFrame:
     """The rows of each partition of each batch as one list."""
