@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_decode
+from .centroids import cluster_sql, cluster_vectors
 from .decontamination import find_contamination
 from .embedding_dedup import near_embeddings
 from .jaccard_join import jaccard_join
 from .language_id import fit_language, identify_language
 from .license_scan import license_sql, scan_licenses
+from .personal_data import find_personal_data
 from .quality import fit_quality, score_quality
+from .spelling import group_spellings
 from .suffix_dedup import drop_repeats
 from .token_counts import count_tokens
 from .token_store import store_and_read
@@ -66,6 +69,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), threshold=0.8, shingle=5).drop("text_hash")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -78,8 +93,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_centroids": op11_centroids,
+        "op12_spelling": op12_spelling,
+        "op13_personal_data": op13_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": license_sql()}
+    return {"op8_license_scan": license_sql(), "op11_centroids": cluster_sql()}
