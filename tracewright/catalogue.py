@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 from .functions import collection, conditional, dates, json_xml, maths, misc, strings  # noqa: F401
-from .operators import aggregates, graph_tools, graphs, joins, learning, mllib, projection, rdd_style, sets, sorting, statistics, udfs, windows  # noqa: F401
+from .operators import aggregates, aggregator, graph_tools, graphs, joins, learning, mllib, projection, rdd_style, sets, sorting, statistics, udfs, windows  # noqa: F401
 from .plans import commands, debug_queries, provenance_queries  # noqa: F401
 from .sources import connectors, options  # noqa: F401
 from .streaming import more as more_streaming  # noqa: F401

@@ -129,13 +129,6 @@ def agg_filtered(t: Tables) -> DataFrame:
     return t.sql("SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS big, count(*) AS n FROM orders GROUP BY o_orderstatus")
 
 
-@query("agg_typed_aggregator", "SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS weighted FROM lineitem GROUP BY l_returnflag")
-def agg_typed_aggregator(t: Tables) -> DataFrame:
-    """A user-defined mergeable aggregate (zero, reduce, merge, finish) as sums that combine map-side."""
-    parts = t.lineitem.groupBy("l_returnflag").agg(F.sum(F.col("l_quantity") * F.col("l_extendedprice")).alias("a"), F.sum("l_quantity").alias("b"))
-    return parts.select("l_returnflag", F.round(F.col("a") / F.col("b"), 4).alias("weighted"))
-
-
 @query("agg_pandas_udaf", "SELECT n_regionkey, max(length(n_name))::BIGINT - min(length(n_name))::BIGINT AS spread FROM nation GROUP BY n_regionkey")
 def agg_pandas_udaf(t: Tables) -> DataFrame:
     @F.pandas_udf("long")

@@ -9,7 +9,7 @@ from ..plans.storage import reliable
 from ..registry import query
 from ..sources.connectors import folder
 from ..sources.tables import Tables
-from .graphs import _EDGES, _WAYS, trade
+from .graphs import _EDGES, _WAYS, NotConverged, trade
 
 
 def load_edges(spark, path: str, comment: str = "#") -> DataFrame:
@@ -62,7 +62,11 @@ def graph_partition_strategies(t: Tables) -> DataFrame:
 
 
 def rank_to_tolerance(vertices: DataFrame, edges: DataFrame, tolerance: float, most: int = 100) -> tuple[DataFrame, int]:
-    """PageRank until no rank changes by more than the tolerance: (id, rank) and the number of rounds."""
+    """PageRank until no rank changes by more than the tolerance: (id, rank) and the number of rounds.
+
+    A rank's change shrinks by 0.85 a round, so `most` bounds no tolerance above 1e-7 of the largest
+    rank; where it is not enough the call raises `NotConverged`.
+    """
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
     ranks = reliable(vertices.select("id", F.lit(1.0).alias("rank")))
     for turn in range(1, most + 1):
@@ -72,7 +76,7 @@ def rank_to_tolerance(vertices: DataFrame, edges: DataFrame, tolerance: float, m
         ranks = new.select("id", "rank")
         if change <= tolerance:
             return ranks, turn
-    return ranks, most
+    raise NotConverged(f"ranks still change by {change:g} after {most} rounds")
 
 
 @query("graph_page_rank_to_tolerance", f"""WITH RECURSIVE d AS (SELECT src, count(*) AS n FROM ({_EDGES}) GROUP BY src), e AS (SELECT x.src, x.dst, d.n FROM ({_EDGES}) x JOIN d USING (src)),

@@ -12,32 +12,65 @@ from ..registry import query
 from ..sources.tables import Tables
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, send: Callable[[DataFrame], DataFrame], merge, update, rounds: int = 50, both_ways: bool = False) -> DataFrame:
+class NotConverged(RuntimeError):
+    """A stated number of rounds was not enough."""
+
+
+def both_directions(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), *[c for c in edges.columns if c not in ("src", "dst")]))
+
+
+def pregel(vertices: DataFrame, edges: DataFrame, send: Callable[[DataFrame], DataFrame], merge, update, most: int | None = None, both_ways: bool = False) -> DataFrame:
     """Vertex states (id, state) under message passing until no vertex changes.
 
-    `send` maps triplets (src, dst, attr.., state) to messages (id, message);
-    `merge` aggregates `message`; `update` gives the new state from `state` and
-    `message` (null if none came).
+    `send` maps triplets (src, dst, attr.., state) to messages (id, message); only
+    vertices that changed in the round before are sources of triplets.  `merge`
+    aggregates `message`; `update` gives the new state from `state` and `message`
+    of a vertex that a message reached.  There is no bound on the rounds unless
+    `most` states one; states that still change then raise `NotConverged`.
     """
-    if both_ways:
-        edges = edges.unionByName(edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), *[c for c in edges.columns if c not in ("src", "dst")]))
+    edges = reliable(both_directions(edges) if both_ways else edges)
     states = reliable(vertices.select("id", "state"))
-    for _ in range(rounds):
-        triplets = edges.join(states, edges.src == states.id).drop("id")
-        messages = send(triplets).groupBy("id").agg(merge.alias("message"))
-        new = states.join(messages, "id", "left").select("id", "state", update.alias("new"))
-        new = reliable(new)
-        changed = new.where(~F.col("state").eqNullSafe(F.col("new"))).isEmpty()
-        states = new.select("id", F.col("new").alias("state"))
-        if changed:
-            break
-    return states
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest reachable id of every vertex, ignoring directions."""
-    start = vertices.select("id", F.col("id").alias("state"))
-    return pregel(start, edges.select("src", "dst"), lambda x: x.select(F.col("dst").alias("id"), F.col("state").alias("message")), F.min("message"), F.least("state", "message"), both_ways=True)
+    active, turn = states, 0
+    while True:
+        triplets = edges.join(active.select("id", "state"), edges.src == active.id).drop("id")
+        messages = send(triplets).groupBy("id").agg(merge.alias("message")).withColumn("reached", F.lit(True))
+        new = F.when(F.col("reached"), update).otherwise(F.col("state"))
+        moved = reliable(states.join(messages, "id", "left").select("id", "state", new.alias("new")))
+        active = moved.where(~F.col("state").eqNullSafe(F.col("new"))).select("id", F.col("new").alias("state"))
+        states = moved.select("id", F.col("new").alias("state"))
+        if active.isEmpty():
+            return states
+        turn += 1
+        if most is not None and turn >= most:
+            raise NotConverged(f"states still change after {most} rounds")
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Smallest reachable id of every vertex, ignoring directions.
+
+    Every vertex points to a smaller one of its component.  In a round a vertex and the one
+    it points to take the smallest grandparent among the vertex's neighbours, then pointers
+    are doubled, so the rounds grow with the logarithm of a component's diameter.
+    """
+    ways = reliable(both_directions(edges.select("src", "dst").where("src <> dst")))
+    points = reliable(vertices.select("id", F.col("id").alias("state")))
+    turn = 0
+    while True:
+        up = points.select(F.col("id").alias("state"), F.col("state").alias("top"))
+        grand = reliable(points.join(up, "state").select("id", "state", "top"))
+        seen = ways.join(grand.select(F.col("id").alias("dst"), F.col("top").alias("low")), "dst")
+        low = seen.groupBy(F.col("src").alias("id")).agg(F.min("low").alias("low"))
+        low = grand.join(low, "id").where("low < top")
+        hooks = low.select("id", "low").unionByName(low.select(F.col("state").alias("id"), "low")).unionByName(low.select(F.col("top").alias("id"), "low"))
+        hooks = hooks.groupBy("id").agg(F.min("low").alias("low"))
+        moved = reliable(grand.join(hooks, "id", "left").select("id", "state", F.least("top", "low").alias("new")))
+        points = moved.select("id", F.col("new").alias("state"))
+        if moved.where("state <> new").isEmpty():
+            return points
+        turn += 1
+        if most is not None and turn >= most:
+            raise NotConverged(f"components still merge after {most} rounds")
 
 
 def shortest_paths(vertices: DataFrame, edges: DataFrame, landmark) -> DataFrame:

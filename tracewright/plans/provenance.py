@@ -13,9 +13,10 @@ never merge.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,23 @@ def _id(*columns: Column | str) -> Column:
     return F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns])
 
 
+#: Steps that give each row of a scan at most once and in its place.
+_BARE = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _scanned_format(df: DataFrame) -> str | None:
+    """The file format below a plan that only chooses rows and columns of one scan; None for any other plan."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _BARE and node.children().size() == 1:
+        node = node.children().head()
+    if not node.nodeName().startswith("LogicalRelation"):
+        return None
+    relation = node.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    return relation.fileFormat().toString().lower()
+
+
 @dataclass
 class Edge:
     """(out_id, in_id) between a node and one of its parents; `inside` names the field of out_id that is in_id, if there is one."""
@@ -55,20 +73,19 @@ class TracedFrame:
     def source(df: DataFrame, key: list[str] | None = None, capture: bool = True) -> TracedFrame:
         """Records of a table: ids from a unique key, else from the file's path and the row's place in it.
 
-        Parquet tells the place of a row.  For other files it is the number that the scan gives,
-        which is the same each time in a session, as long as files and scan settings stay.  Rows
-        that come from no file are numbered once and materialised.
+        A bare scan of Parquet (columns and rows chosen, nothing else) tells the place of a row, so
+        its ids need no copy and stay whatever the splits are.  All other rows are numbered once and
+        materialised: scans of other files (with their path), and rows that were exploded, joined,
+        grouped or dealt out first, for which the place in a file names several records or none.
         """
         if key:
             return TracedFrame(df.withColumn(RID, _id(*key)), "source", capture=capture)
         path = F.col("_metadata.file_path").alias("path")
         number = F.monotonically_increasing_id().alias("row")
-        for place in (_id(path, F.col("_metadata.row_index").alias("row")), _id(path, number)):
-            try:
-                return TracedFrame(df.withColumn(RID, place), "source", capture=capture)
-            except AnalysisException:  # no such file format, or no file
-                continue
-        return TracedFrame(reliable(df.withColumn(RID, _id(number))), "source", capture=capture)
+        scanned = _scanned_format(df)
+        if scanned == "parquet":
+            return TracedFrame(df.withColumn(RID, _id(path, F.col("_metadata.row_index").alias("row"))), "source", capture=capture)
+        return TracedFrame(reliable(df.withColumn(RID, _id(path, number) if scanned else _id(number))), "source", capture=capture)
 
     @property
     def columns(self) -> list[str]:
@@ -100,7 +117,8 @@ class TracedFrame:
         return self._narrow("order_by", lambda d: d.orderBy(*columns))
 
     def limit_by(self, n: int, *order: Column | str) -> TracedFrame:
-        return self._narrow("limit", lambda d: d.orderBy(*order).limit(n))
+        """The first n records of an order; the record id decides among equals, so a later walk meets the same records."""
+        return self._narrow("limit", lambda d: d.orderBy(*order, RID).limit(n))
 
     def repartition_and_sort(self, n: int, *keys: str) -> TracedFrame:
         return self._narrow("repartition_and_sort", lambda d: d.repartition(n, *keys).sortWithinPartitions(*keys))
@@ -199,6 +217,28 @@ class TracedFrame:
         node.edges = [Edge(e.parent, reliable(e.rows), e.inside) for e in edges]
         return self
 
+    def materialise_in_background(self, tries: int = 2) -> Future:
+        """The same while the caller goes on: walks read the lazy edges until the written ones are there.
+
+        A failed write is tried again, `tries` times in all; after that the future holds the error
+        and walks go on with the lazy edges.
+        """
+
+        def write() -> TracedFrame:
+            for left in range(tries - 1, -1, -1):
+                try:
+                    return self.materialise()
+                except PySparkException:
+                    if not left:
+                        raise
+            return self
+
+        pool = ThreadPoolExecutor(1, thread_name_prefix="edges")
+        try:
+            return pool.submit(write)
+        finally:
+            pool.shutdown(wait=False)
+
     def aggregate(self, **key) -> DataFrame:
         """The data of the groups with the given key values."""
         rows = self.df

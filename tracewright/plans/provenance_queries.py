@@ -122,13 +122,15 @@ def prov_zip_partitions(t: Tables) -> DataFrame:
 @query("prov_zip_three", "SELECT n_nationkey, n_name, n_regionkey AS r, length(n_name) AS c FROM nation WHERE n_nationkey > 4")
 def prov_zip_three(t: Tables) -> DataFrame:
     sides = [TracedFrame.source(t.nation.selectExpr(*columns), [columns[0].split()[-1]]) for columns in (("n_nationkey", "n_name"), ("n_nationkey AS k", "n_regionkey AS r"), ("n_nationkey AS j", "length(n_name) AS c"))]
-    found = sides[0].zip_three(sides[1], sides[2], 4, ("n_nationkey", "k", "j")).where("n_nationkey = k and k = j and k > 4")
-    return found.data.select("n_nationkey", "n_name", "r", "c")
+    at = sides[0].zip_three(sides[1], sides[2], 4, ("n_nationkey", "k", "j")).lineage().where("k > 4")
+    pairs = at.go_back(0)
+    first, second, third = pairs.go_back(0).show(), pairs.go_back(1).show(), at.go_back(1).show()
+    return first.join(second, F.col("n_nationkey") == F.col("k")).join(third, F.col("k") == F.col("j")).select("n_nationkey", "n_name", "r", "c")
 
 
 @query("prov_text_files", "SELECT n_name AS value FROM nation WHERE n_name LIKE 'I%' UNION ALL SELECT n_name FROM nation WHERE n_name LIKE 'I%'")
 def prov_text_files(t: Tables) -> DataFrame:
-    """Lines of text files of equal names in two folders: each line is a record of its own, and nothing is copied."""
+    """Lines of text files of equal names in two folders: each line is a record of its own, numbered once."""
     folder = scratch(t.spark, "prov-text")
     for part in ("a", "b"):
         t.nation.select(F.col("n_name").alias("value")).coalesce(1).write.text(f"{folder}/part={part}")
@@ -177,11 +179,52 @@ def prov_get_aggregate(t: Tables) -> DataFrame:
     return groups.aggregate(c_nationkey=5)
 
 
-@query("prov_collection_source", "SELECT 'b c' AS line")
+@query("prov_background_edges", "SELECT c_custkey, 3 AS walks FROM customer WHERE c_nationkey = 5")
+def prov_background_edges(t: Tables) -> DataFrame:
+    """The same walk before, while and after the edges are written."""
+    groups = TracedFrame.source(t.customer.select("c_custkey", "c_nationkey"), ["c_custkey"]).group_by(["c_nationkey"], F.count("*").alias("n"))
+
+    def walk() -> DataFrame:
+        return groups.lineage().where("c_nationkey = 5").go_back().show().select("c_custkey")
+
+    walks = [walk()]
+    written = groups.materialise_in_background()
+    walks.append(walk())
+    written.result()
+    walks.append(walk())
+    return walks[0].unionByName(walks[1]).unionByName(walks[2]).groupBy("c_custkey").agg(F.count("*").cast("int").alias("walks"))
+
+
+@query("prov_collection_source", "SELECT n_name AS line FROM nation WHERE n_name LIKE 'I%'")
 def prov_collection_source(t: Tables) -> DataFrame:
-    lines = TracedFrame.source(t.spark.createDataFrame([("a b",), ("b c",)], "line string"))
-    counts = lines.flat_map("w", F.split("line", " ")).group_by(["w"], F.count("*").alias("n"))
-    return counts.lineage().where("w = 'c'").go_back_all().show().select("line")
+    """Rows that the driver holds (25 of them) are numbered and traced like any others."""
+    lines = TracedFrame.source(t.spark.createDataFrame([(r.n_name,) for r in t.nation.select("n_name").collect()], "line string"))
+    counts = lines.flat_map("w", F.array(F.substring("line", 1, 1))).group_by(["w"], F.count("*").alias("n"))
+    return counts.lineage().where("w = 'I'").go_back_all().show().select("line")
+
+
+@query("prov_source_exploded", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest({_SPLIT}) AS word FROM documents) WHERE word = 'license.' GROUP BY doc_id")
+def prov_source_exploded(t: Tables) -> DataFrame:
+    """Rows that were exploded before they are traced: one place in the file holds many records, and each has an id."""
+    words = TracedFrame.source(t.documents.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word")))
+    counts = words.group_by(["word"], F.count("*").alias("n"))
+    return counts.lineage().where(F.col("word") == "license.").go_back().dump().groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("prov_source_joined", "SELECT c_nationkey, count(*) AS inputs FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 4 GROUP BY 1")
+def prov_source_joined(t: Tables) -> DataFrame:
+    """Rows that were joined before they are traced."""
+    sales = TracedFrame.source(t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_totalprice"))
+    groups = sales.group_by(["c_nationkey"], F.sum("o_totalprice").alias("total"))
+    return groups.lineage().where("c_nationkey < 4").go_back().dump().groupBy("c_nationkey").agg(F.count("*").alias("inputs"))
+
+
+@query("prov_source_repartitioned", "SELECT l_returnflag, count(*) AS inputs, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1")
+def prov_source_repartitioned(t: Tables) -> DataFrame:
+    """Rows that were dealt out before they are traced; a walk finds the same records again."""
+    lines = TracedFrame.source(t.lineitem.repartition(7))
+    at = lines.group_by(["l_returnflag"], F.count("*").alias("n")).lineage().where("l_returnflag <> 'N'").go_back()
+    return at.dump().groupBy("l_returnflag").agg(F.count("*").alias("inputs"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
 @query("prov_capture_off", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(n_name), ' ')) AS word FROM nation) GROUP BY word")
