@@ -71,16 +71,41 @@ def test_functions_see_nulls_as_none_and_wrong_kinds_are_failures(spark):
     assert {r.id: r.result for r in odd.ok.collect()} == {1: None, 3: 7} and [r.rid for r in odd.quarantine.collect()] == [2]
 
 
-def test_text_lines_have_ids_without_a_copy(spark, tmp_path):
+def test_text_lines_keep_their_ids(spark, tmp_path):
+    """Lines are numbered once: other splits in a later walk meet the same records."""
     for part in "ab":
         (tmp_path / part).mkdir()
         (tmp_path / part / "x.txt").write_text("same\nother\nsame\n")
     lines = TracedFrame.source(spark.read.text([str(tmp_path / p) for p in "ab"]))
     assert lines.df.select(RID).distinct().count() == 6
-    assert "Scan text" in lines.df._jdf.queryExecution().simpleString()
     groups = lines.group_by(["value"], F.count("*").alias("n"))
-    back = groups.lineage().where("value = 'same'").go_back().dump()
-    assert back.count() == 4 and {r[RID].path.rsplit("/", 2)[1] for r in back.collect()} == {"a", "b"}
+    cursor = groups.lineage().where("value = 'same'").go_back()
+    first = sorted(map(str, cursor.dump().collect()))
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(key, "7")
+        again = groups.lineage().where("value = 'same'").go_back().dump().collect()
+    finally:
+        spark.conf.set(key, old)
+    assert sorted(map(str, again)) == first and len(first) == 4
+    assert {r[RID].path.rsplit("/", 2)[1] for r in again} == {"a", "b"}
+
+
+def test_ids_of_rows_that_are_no_bare_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(6).selectExpr("id", "id % 2 AS k").coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path)
+    frames = [scan.select("id", F.explode(F.array("id", "k"))), scan.join(spark.range(4).toDF("j")), scan.repartition(3), scan.union(scan), scan.groupBy("k").count(), scan.sample(0.99, 1).union(scan.limit(2))]
+    for df in frames:
+        traced = TracedFrame.source(df)
+        assert traced.df.select(RID).distinct().count() == traced.df.count() > 0
+    bare = TracedFrame.source(scan.where("id > 1").select("k")).df
+    assert "Scan parquet" in bare._jdf.queryExecution().simpleString() and bare.select(RID).distinct().count() == 4
+
+
+def test_first_records_of_an_order_with_ties(spark):
+    rows = TracedFrame.source(spark.range(50).selectExpr("id", "0 AS k"), ["id"]).limit_by(3, "k")
+    assert sorted(r.id for r in rows.data.collect()) == [0, 1, 2]
 
 
 def test_union_keeps_ids_of_unlike_kinds_apart(spark):

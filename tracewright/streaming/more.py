@@ -1,4 +1,4 @@
-"""Streaming queries on late rows, triggers, sockets and models that learn batch by batch.
+"""Streaming queries on late rows, triggers and sockets.
 
 The console sink has no query here, as it would print into the output of whoever runs the catalogue.
 """
@@ -10,7 +10,6 @@ import threading
 import time
 import uuid
 
-from pyspark.mllib.clustering import StreamingKMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,30 +114,3 @@ def stream_glom(t: Tables) -> DataFrame:
     path = folder(t, "glom")
     sink(t, stream(t), lambda d, i: d.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("event_id").alias("ids")).write.mode("overwrite").parquet(f"{path}/batch={i}"))
     return t.spark.read.parquet(path).agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
-
-
-@query("stream_linear_regression", "SELECT round(regr_slope(value, event_id::DOUBLE), 8) AS slope, round(regr_intercept(value, event_id::DOUBLE), 4) AS intercept FROM events")
-def stream_linear_regression(t: Tables) -> DataFrame:
-    """A line learned batch by batch from sums, which add up whatever the batches are."""
-    sums: dict[int, tuple] = {}
-    x, y = F.col("event_id").cast("double"), F.col("value")
-
-    def learn(d: DataFrame, i: int) -> None:
-        sums[i] = tuple(d.agg(F.count("*"), F.sum(x), F.sum(y), F.sum(x * y), F.sum(x * x)).first())  # a batch that is run again replaces its sums
-
-    sink(t, stream(t), learn)
-    n, sx, sy, sxy, sxx = (float(sum(s[k] or 0 for s in sums.values())) for k in range(5))
-    slope = (n * sxy - sx * sy) / (n * sxx - sx * sx)
-    return t.spark.createDataFrame([(round(slope, 8), round((sy - slope * sx) / n, 4))], "slope double, intercept double")
-
-
-@query("stream_kmeans", "SELECT round(avg(value), 4) AS centre, count(*) AS n FROM events")
-def stream_kmeans(t: Tables) -> DataFrame:
-    """A streaming cluster that forgets nothing has its centre at the mean of all batches."""
-    model = StreamingKMeansModel([[0.0]], [0.0])
-
-    def learn(d: DataFrame, i: int) -> None:
-        model.update(d.select("value").rdd.map(lambda r: [float(r[0])]), 1.0, "batches")
-
-    sink(t, stream(t), learn)
-    return t.spark.createDataFrame([(round(float(model.centers[0][0]), 4), int(round(model.clusterWeights[0])))], "centre double, n long")
