@@ -14,10 +14,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import workers_find_package
 
@@ -58,6 +62,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the checkpoints that are made inside `dropped_checkpoints`.
+_checkpoints: ContextVar[list[str] | None] = ContextVar("checkpoints", default=None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def dropped_checkpoints(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside go at the end: what is computed from them has to be written by then."""
+    made: list[str] = []
+    token = _checkpoints.set(made)
+    try:
+        yield
+    finally:
+        _checkpoints.reset(token)
+        for path in made:
+            remove(spark, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -65,6 +92,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_folder(spark))
     out = df.checkpoint(eager=True)
+    made = _checkpoints.get()
+    if made is not None:
+        made.append(out._jdf.logicalPlan().rdd().getCheckpointFile().get())
     gc.collect()
     sc._jvm.System.gc()  # lets the cleaner drop the shuffle files of what was cut off
     return out
@@ -75,10 +105,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tracewright-{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Steps over a scan that give each row at most once.
+_NARROW = {"Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the plan only chooses rows and columns of one scan of files."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in _NARROW and node.children().size() == 1:
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation") and node.relation().getClass().getSimpleName() == "HadoopFsRelation"
+
+
+def _held(field: T.StructField) -> Column:
+    """Bytes of a column's values: texts as they are, arrays by their elements, eight for anything else."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(field.dataType, T.ArrayType):
+        size = 8 * F.size(column)
+    else:
+        size = F.lit(8)
+    return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files below `df` as the planner knows it; a small constant where it doesn't."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if n < 1 << 58 else 1 << 26
+    """Size of the files below a scan; of anything else (a join, an RDD, a checkpoint) the bytes of its values, measured by one job.
+
+    The planner's own size of a join is a product of its sides, and of an RDD a constant.
+    """
+    if _is_scan(df):
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    total = F.lit(0).cast("long")
+    for i, f in enumerate(df.schema.fields):
+        total = total + _held(T.StructField(f"c{i}", f.dataType))
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may repeat
+    return int(named.agg(F.sum(total)).first()[0] or 0)
 
 
 def partitions_for(df: DataFrame, mb: int = 32) -> int:

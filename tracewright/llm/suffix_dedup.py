@@ -305,8 +305,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             order = near[np.argsort(wants["key"][near] % np.uint64(buckets), kind="stable")]
             size = wants["size"].astype(np.int64) + LENGTH
             home = (wants["key"][order] % np.uint64(buckets)).astype(np.int32)
-            cut = np.flatnonzero(_changed(home)) if len(home) else []
-            for a, b in zip(cut, [*cut[1:], len(home)], strict=True):
+            cut = np.flatnonzero(_changed(home)) if len(home) else []  # none where every anchor has many contexts
+            for a, b in zip(cut, [*cut[1:], len(home)], strict=False):
                 part = order[a:b]
                 texts = b"".join(raw[begin[i] : begin[i] + size[i]].tobytes() for i in part)
                 out.append((int(home[a]), TEXTS, len(part).to_bytes(8, "little") + _pack(wants[part]) + texts))
