@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.bpe_codec import encode_decode
-from tracewright.llm.common import scratch_path
+from tracewright.llm.common import dropped_checkpoints, remove, scratch_path
 from tracewright.llm.decontamination import drop_contaminated
 from tracewright.llm.jaccard_join import jaccard_join
 from tracewright.llm.language_id import fit_language, identify_language
@@ -84,10 +84,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each stage's rows are written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to `documents`; each stage's rows are written as Parquet in the shared folder and read again.
+
+    A stage's checkpoints go once its rows are written, and its table once the next stage's is; the
+    last table stays, as the result reads it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with dropped_checkpoints(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
