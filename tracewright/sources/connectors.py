@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans.storage import scratch
 from ..registry import query
@@ -126,40 +125,6 @@ def source_sequence_file(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(sc.sequenceFile(path), "k int, v string")
 
 
-class StepSource(DataSource):
-    """A Python data source: numbers of a range in steps, split over partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tw_steps"
-
-    def schema(self) -> str:
-        return "id long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return StepReader(int(self.options.get("end", "100")), int(self.options.get("step", "1")))
-
-
-class StepReader(DataSourceReader):
-    def __init__(self, end: int, step: int):
-        self.end, self.step = end, step
-
-    def partitions(self) -> list[InputPartition]:
-        cut = self.end // 2
-        return [InputPartition((0, cut)), InputPartition((cut, self.end))]
-
-    def read(self, partition: InputPartition):
-        low, high = partition.value
-        for i in range(-(-low // self.step) * self.step, high, self.step):
-            yield (i,)
-
-
-@query("source_python_format", "SELECT range AS id FROM range(0, 300, 7)")
-def source_python_format(t: Tables) -> DataFrame:
-    t.spark.dataSource.register(StepSource)
-    return t.spark.read.format("tw_steps").option("end", "300").option("step", "7").load()
-
-
 @query("source_cached_scan", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 5 GROUP BY n_regionkey")
 def source_cached_scan(t: Tables) -> DataFrame:
     from pyspark import StorageLevel
