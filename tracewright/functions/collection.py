@@ -21,15 +21,16 @@ expressions(
 )
 
 
-@query("fn_size_of_null", "SELECT -1 AS n")
+@query("fn_size_of_null", "SELECT doc_id, coalesce(len(CASE WHEN lang IS NOT NULL THEN string_split(text, ' ') END), -1)::INT AS n FROM documents")
 def fn_size_of_null(t):
     """The older engine answers -1; said explicitly, it holds under every session setting."""
-    return t.spark.sql("SELECT coalesce(size(CAST(NULL AS ARRAY<INT>)), -1) AS n")
+    return t.sql("SELECT doc_id, coalesce(size(CASE WHEN lang IS NOT NULL THEN split(text, ' ') END), -1) AS n FROM documents")
 
 
-@query("fn_array_contains_null", "SELECT NULL::BOOLEAN AS unknown, true AS found")
+@query("fn_array_contains_null", "SELECT p_partkey, CASE WHEN p_size = 7 THEN true END AS found, p_size = 7 AS found_without_null FROM part")
 def fn_array_contains_null(t):
-    return t.spark.sql("SELECT array_contains(array(1, NULL), 2) AS unknown, array_contains(array(1, NULL), 1) AS found")
+    """A null among the elements makes a miss unknown."""
+    return t.sql("SELECT p_partkey, array_contains(array(p_size, CAST(NULL AS INT)), 7) AS found, array_contains(array(p_size), 7) AS found_without_null FROM part")
 
 
 @query("fn_embedding_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, len(embedding)::INT AS width FROM embeddings")

@@ -33,9 +33,10 @@ expressions(
 )
 
 
-@query("fn_current_time", "SELECT true AS same_day, true AS recent")
+@query("fn_current_time", "SELECT o_orderkey, true AS same_day, o_orderdate < now()::TIMESTAMP AS past, date_diff('year', o_orderdate, now()::TIMESTAMP)::INT AS years FROM orders")
 def fn_current_time(t):
-    return t.spark.sql("SELECT current_date() = to_date(current_timestamp()) AS same_day, now() >= TIMESTAMP '2020-01-01' AS recent")
+    """One instant for the whole query: rows are compared with it, whatever task reads them."""
+    return t.sql("SELECT o_orderkey, current_date() = to_date(current_timestamp()) AND now() = current_timestamp() AS same_day, o_orderdate < current_timestamp() AS past, year(current_date()) - year(o_orderdate) AS years FROM orders")
 
 
 @query("fn_interval_literals", "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY AS later FROM orders")

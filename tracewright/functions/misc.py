@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+from pyspark.sql import functions as F
+
 from ..registry import expressions, query
 
 expressions(
@@ -20,12 +22,32 @@ expressions(
     [("md5", "md5(n_name)"), ("sha1", "sha1(n_name)"), ("sha256", "sha2(n_name, 256)", "sha256(n_name)")],
 )
 
-_WORDS = ["", "a", "spark", "Überfluß"]
+_WORDS = [flag + status for flag in "ANR" for status in "FO"]
 
 
-@query("fn_crc32_sha512", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {zlib.crc32(w.encode())}::BIGINT, '{hashlib.sha512(w.encode()).hexdigest()}')" for w in _WORDS) + ") x(word, crc, sha512)")
+@query("fn_crc32_sha512", "SELECT word, crc, sha512, count(*) AS n FROM lineitem JOIN (VALUES " + ", ".join(f"('{w}', {zlib.crc32(w.encode())}::BIGINT, '{hashlib.sha512(w.encode()).hexdigest()}')" for w in _WORDS) + ") x(word, crc, sha512) ON word = l_returnflag || l_linestatus GROUP BY ALL")
 def fn_crc32_sha512(t):
-    return t.spark.createDataFrame([(w,) for w in _WORDS], "word string").selectExpr("word", "crc32(word) AS crc", "sha2(word, 512) AS sha512")
+    """Hashed row by row, then counted; the oracle joins the few known words to their hashes."""
+    word = t.lineitem.selectExpr("concat(l_returnflag, l_linestatus) AS word")
+    return word.selectExpr("word", "crc32(word) AS crc", "sha2(word, 512) AS sha512").groupBy("word", "crc", "sha512").agg(F.count("*").alias("n"))
+
+
+_CRC_BIT = "CASE WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END"
+
+
+@query(
+    "fn_crc32",
+    f"""WITH RECURSIVE step AS (
+        SELECT p_partkey, p_name, 0 AS bit, 4294967295::BIGINT AS crc FROM part
+        UNION ALL
+        SELECT p_partkey, p_name, bit + 1, {_CRC_BIT}
+        FROM (SELECT p_partkey, p_name, bit, CASE WHEN bit % 8 = 0 THEN xor(crc, ascii(substr(p_name, bit // 8 + 1, 1))::BIGINT) ELSE crc END AS crc FROM step)
+        WHERE bit < 8 * length(p_name))
+    SELECT p_partkey, xor(crc, 4294967295) AS crc FROM step WHERE bit = 8 * length(p_name)""",
+)
+def fn_crc32(t):
+    """The oracle divides by the polynomial bit by bit (names are ASCII)."""
+    return t.part.selectExpr("p_partkey", "crc32(p_name) AS crc")
 
 
 @query("fn_murmur_hash", "SELECT count(*) AS n FROM nation")
@@ -51,6 +73,6 @@ def fn_assert_true(t):
     return t.nation.selectExpr("assert_true(n_nationkey >= 0) AS ok").selectExpr("count(*) - count(ok) AS n")
 
 
-@query("fn_literals", "SELECT 1 AS i, 2.5::DOUBLE AS d, 'it''s' AS s, true AS b, 255 AS x")
+@query("fn_literals", "SELECT p_partkey, p_size + 1 AS i, p_size * 2.5::DOUBLE AS d, p_name || 'it''s' AS s, (p_size > 25) = true AS b, p_size + 255 AS x FROM part")
 def fn_literals(t):
-    return t.spark.sql("SELECT 1 AS i, 2.5D AS d, 'it\\'s' AS s, true AS b, CAST(conv('ff', 16, 10) AS INT) AS x")
+    return t.sql("SELECT p_partkey, p_size + 1 AS i, p_size * 2.5D AS d, concat(p_name, 'it\\'s') AS s, (p_size > 25) = true AS b, p_size + CAST(conv('ff', 16, 10) AS INT) AS x FROM part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..registry import expressions, query
 
 expressions(
@@ -29,14 +31,25 @@ expressions(
 )
 
 
-@query("fn_soundex", "SELECT word, code FROM (VALUES ('Robert', 'R163'), ('Rupert', 'R163'), ('Tymczak', 'T522'), ('Pfister', 'P236')) x(word, code)")
+# the digit of each letter, 0 for vowels; H and W leave no trace between equal digits
+_DIGITS = "translate(upper({}), 'AEIOUYBFPVCGJKQSXZDTLMNRHW', '000000111122222222334556')"
+_RUNS = _DIGITS.format("word")
+for _digit in "0123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_digit}+', '{_digit}', 'g')"
+
+
+@query("fn_soundex", f"SELECT word, upper(word[1]) || left(replace(substr({_RUNS}, CASE WHEN upper(word[1]) IN ('H', 'W') THEN 1 ELSE 2 END), '0', '') || '000', 3) AS code, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) GROUP BY word)")
 def fn_soundex(t):
-    return t.spark.sql("SELECT word, soundex(word) AS code FROM VALUES ('Robert'), ('Rupert'), ('Tymczak'), ('Pfister') AS x(word)")
+    """Every word of the documents, however often it occurs, by its sound."""
+    words = t.documents.select(F.explode(F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", F.soundex("word").alias("code"), "n")
 
 
-@query("fn_sentences", "SELECT 2 AS n, 'Hi' AS first_word, 4 AS words")
+@query("fn_sentences", "SELECT p_partkey, 2 AS n, 'The' AS first_word, len(string_split(p_name, ' '))::INT + 7 AS words, p_size::VARCHAR AS last_word FROM part")
 def fn_sentences(t):
-    return t.spark.sql("SELECT size(s) AS n, s[0][0] AS first_word, size(flatten(s)) AS words FROM (SELECT sentences('Hi there! Good morning.') AS s)")
+    """Two sentences on every part, taken apart into words."""
+    told = t.part.selectExpr("p_partkey", "sentences(concat('The part is ', p_name, '. Its size is ', p_size, '!')) AS s")
+    return told.selectExpr("p_partkey", "size(s) AS n", "s[0][0] AS first_word", "size(flatten(s)) AS words", "element_at(s[1], -1) AS last_word")
 
 
 expressions(

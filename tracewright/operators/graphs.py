@@ -215,12 +215,3 @@ def graph_subgraph_neighbours(t: Tables) -> DataFrame:
 @query("graph_vertex_set_ops", "SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 1 AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def graph_vertex_set_ops(t: Tables) -> DataFrame:
     return t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id")).join(t.supplier.where("s_acctbal > 9000"), F.col("id") == F.col("s_nationkey"), "left_anti")
-
-
-@query("graph_generators", "SELECT 24 AS grid_edges, 9 AS star_edges")
-def graph_generators(t: Tables) -> DataFrame:
-    """A 4 x 4 grid and a star of 10 vertices from ranges."""
-    cells = t.spark.range(16).select((F.col("id") / 4).cast("int").alias("r"), (F.col("id") % 4).cast("int").alias("c"))
-    grid = cells.where("c < 3").unionByName(cells.where("r < 3"))
-    star = t.spark.range(1, 10).select(F.col("id").alias("src"), F.lit(0).alias("dst"))
-    return grid.agg(F.count("*").cast("int").alias("grid_edges")).join(star.agg(F.count("*").cast("int").alias("star_edges")))

@@ -18,6 +18,7 @@ from pyspark.mllib.stat import KernelDensity, Statistics
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import reliable
 from ..registry import query
 from ..sources.tables import Tables
 
@@ -211,10 +212,14 @@ def mllib_kernel_density(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(float(a), 8), round(float(b), 8))], "at_10 double, at_40 double")
 
 
-@query("mllib_linear_data", "SELECT 50 AS n, 50 AS on_the_line")
+@query("mllib_linear_data", "SELECT count(*)::INT AS n, count(*)::INT AS on_the_line FROM part")
 def mllib_linear_data(t: Tables) -> DataFrame:
-    """Generated points without noise lie on their line."""
+    """As many generated points as there are parts, made in the tasks; without noise all lie on the line a fit finds."""
+    from pyspark.ml.linalg import Vectors as NewVectors
+    from pyspark.ml.regression import LinearRegression
     from pyspark.mllib.util import LinearDataGenerator
 
-    points = LinearDataGenerator.generateLinearInput(2.0, [3.0], [0.0], [1.0], 50, 7, 0.0)
-    return t.spark.createDataFrame([(len(points), int(sum(abs(p.label - 2.0 - 3.0 * p.features[0]) < 1e-9 for p in points)))], "n int, on_the_line int")
+    points = LinearDataGenerator.generateLinearRDD(t.spark.sparkContext, t.part.count(), 2, 0.0, intercept=2.0)
+    rows = reliable(points.map(lambda p: (float(p.label), NewVectors.dense(p.features.toArray()))).toDF(["label", "features"]))
+    fitted = LinearRegression(solver="normal").fit(rows).transform(rows)
+    return fitted.agg(F.count("*").cast("int").alias("n"), F.sum((F.abs(F.col("label") - F.col("prediction")) < 1e-6).cast("int")).cast("int").alias("on_the_line"))

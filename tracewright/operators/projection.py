@@ -78,8 +78,8 @@ both("cte_shadowing", "WITH nation AS (SELECT r_regionkey AS k, r_name AS v FROM
 both("ordinals_group_order", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1")
 both("having_aggregate", "SELECT l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey HAVING sum(l_quantity) > 1000 AND count(*) > 10")
 both("having_group_column", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING c_mktsegment <> 'BUILDING'")
-both("select_without_from", "SELECT 1 AS one, 'a' AS letter, 2 + 3 AS five, CAST(NULL AS INT) IS NULL AS nothing")
-both("inline_table", "SELECT k, v FROM (VALUES ('a', 1), ('b', 2), ('c', NULL)) AS x(k, v) WHERE v IS NULL OR v > 1")
+both("select_without_from", "SELECT 1 AS one, 'a' AS letter, 2 + 3 AS five, CAST(NULL AS INT) IS NULL AS nothing, (SELECT count(*) FROM orders) AS n, (SELECT max(o_totalprice) FROM orders) AS top")
+both("inline_table", "SELECT k, v, count(*) AS n FROM (VALUES ('F', 1), ('O', 2), ('P', NULL)) AS x(k, v) JOIN orders ON o_orderstatus = k WHERE v IS NULL OR v > 1 GROUP BY k, v")
 both("null_propagation", "SELECT count(CASE WHEN l_quantity < 0 THEN 1 END) AS none, count(*) AS n, CAST(sum(CASE WHEN l_quantity < 0 THEN 1 END) AS BIGINT) AS empty_sum FROM lineitem")
 
 
@@ -124,14 +124,17 @@ def sql_on_files(t: Tables) -> DataFrame:
     return t.spark.sql(f"SELECT n_regionkey, count(*) AS n FROM parquet.`{t.path('nation')}` GROUP BY n_regionkey")
 
 
-@query("range_function", "SELECT range AS id FROM range(0, 1000, 7)")
+@query("range_function", "SELECT id FROM (SELECT unnest(range(0, (SELECT max(l_orderkey) FROM lineitem) + 1, 7)) AS id) WHERE id NOT IN (SELECT l_orderkey FROM lineitem)")
 def range_function(t: Tables) -> DataFrame:
-    return t.spark.range(0, 1000, 7)
+    """Every seventh number up to the largest key that no line has."""
+    top = t.lineitem.agg(F.max("l_orderkey")).first()[0]
+    return t.spark.range(0, (-1 if top is None else top) + 1, 7).join(t.lineitem.select(F.col("l_orderkey").alias("id")), "id", "left_anti")
 
 
-@query("range_table_function", "SELECT count(*) AS n, sum(range)::BIGINT AS total FROM range(5, 500)")
+@query("range_table_function", "SELECT r.range AS quantity, count(l_orderkey) AS n FROM range(5, 60) r LEFT JOIN lineitem ON l_quantity = r.range GROUP BY 1")
 def range_table_function(t: Tables) -> DataFrame:
-    return t.spark.sql("SELECT count(*) AS n, sum(id) AS total FROM range(5, 500, 1, 4)")
+    """Each quantity of a range with its lines, also those without any."""
+    return t.sql("SELECT r.id AS quantity, count(l_orderkey) AS n FROM range(5, 60, 1, 4) r LEFT JOIN lineitem ON CAST(l_quantity AS BIGINT) = r.id AND l_quantity = r.id GROUP BY 1")
 
 
 @query("partition_id_prune", "SELECT count(*) AS n FROM orders")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+
+import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,30 +47,34 @@ def cmd_describe(t: Tables) -> DataFrame:
     return t.spark.sql("DESCRIBE tw_described").select("col_name", "data_type")
 
 
-@query("cmd_functions", "SELECT true AS defined, true AS described, true AS dropped")
+@query("cmd_functions", "SELECT o_orderkey, o_custkey + 1 AS plus, true AS defined, true AS described, true AS dropped FROM orders")
 def cmd_functions(t: Tables) -> DataFrame:
+    """A function defined, listed, described, used on all orders and dropped: the query it is in goes on."""
     s = t.spark
-    s.sql("CREATE OR REPLACE TEMPORARY FUNCTION tw_plus_one(x INT) RETURNS INT RETURN x + 1")
-    defined = any(f.name == "tw_plus_one" for f in s.catalog.listFunctions(pattern="tw_plus*"))
-    described = s.sql("DESCRIBE FUNCTION upper").count() > 0
+    s.sql("CREATE OR REPLACE TEMPORARY FUNCTION tw_plus_one(x BIGINT) RETURNS BIGINT RETURN x + 1")
+    used = t.sql("SELECT o_orderkey, tw_plus_one(o_custkey) AS plus FROM orders")
+    defined = s.sql("SHOW USER FUNCTIONS LIKE 'tw_plus*'").count() == 1 and any(f.name == "tw_plus_one" for f in s.catalog.listFunctions(pattern="tw_plus*"))
+    described = s.sql("DESCRIBE FUNCTION tw_plus_one").count() > 0
     s.sql("DROP TEMPORARY FUNCTION tw_plus_one")
     dropped = not s.catalog.functionExists("tw_plus_one")
-    return s.createDataFrame([(defined, described, dropped)], "defined boolean, described boolean, dropped boolean")
+    return used.select("*", F.lit(defined).alias("defined"), F.lit(described).alias("described"), F.lit(dropped).alias("dropped"))
 
 
-@query("cmd_set_reset", "SELECT '7' AS set_value, true AS was_reset")
+@query("cmd_set_reset", "SELECT o_orderkey, '7' AS set_value, true AS was_reset FROM orders WHERE o_orderkey % 7 = 0")
 def cmd_set_reset(t: Tables) -> DataFrame:
+    """A setting that a query is written with; it is gone afterwards, the query keeps its value."""
     s, key = t.spark, "spark.tracewright.note"
     s.sql(f"SET {key}=7")
-    value = s.conf.get(key)
+    value = s.sql(f"SET {key}").first().value
+    rows = t.orders.where(F.col("o_orderkey") % int(value) == 0)
     s.sql(f"RESET {key}")
-    return s.createDataFrame([(value, s.conf.get(key, None) is None)], "set_value string, was_reset boolean")
+    return rows.select("o_orderkey", F.lit(value).alias("set_value"), F.lit(s.conf.get(key, None) is None).alias("was_reset"))
 
 
-@query("cmd_variable_substitution", "SELECT 42 AS answer")
+@query("cmd_variable_substitution", "SELECT o_orderkey, 42 AS answer FROM orders WHERE o_custkey > 42")
 def cmd_variable_substitution(t: Tables) -> DataFrame:
     t.spark.conf.set("spark.tracewright.answer", "42")
-    return t.spark.sql("SELECT ${spark.tracewright.answer} AS answer")
+    return t.sql("SELECT o_orderkey, ${spark.tracewright.answer} AS answer FROM orders WHERE o_custkey > ${spark.tracewright.answer}")
 
 
 @query("cmd_cache", "SELECT true AS cached, true AS uncached, 25 AS n")
@@ -76,11 +87,24 @@ def cmd_cache(t: Tables) -> DataFrame:
     return s.createDataFrame([(cached, not s.catalog.isCached("tw_cached"), n)], "cached boolean, uncached boolean, n int")
 
 
-@query("cmd_databases", "SELECT true AS has_default, 'default' AS current")
+@query("cmd_databases", "SELECT o_orderstatus, count(*) AS n, true AS listed, true AS current, true AS gone FROM orders GROUP BY 1")
 def cmd_databases(t: Tables) -> DataFrame:
-    s = t.spark
-    s.sql("USE default")
-    return s.createDataFrame([(any(d.name == "default" for d in s.catalog.listDatabases()), s.catalog.currentDatabase())], "has_default boolean, current string")
+    """A database of our own: created, used, filled by a query, listed, and dropped with its table."""
+    s, name = t.spark, f"tw_{uuid.uuid4().hex[:12]}"
+    before = s.catalog.currentDatabase()
+    t.orders.createOrReplaceTempView("tw_all_orders")
+    s.sql(f"CREATE DATABASE {name} COMMENT 'orders by state'")
+    try:
+        s.sql(f"USE {name}")
+        s.sql("CREATE TABLE by_state USING parquet AS SELECT o_orderstatus, count(*) AS n FROM tw_all_orders GROUP BY 1")
+        listed = s.sql(f"SHOW DATABASES LIKE '{name}'").count() == 1 and s.sql(f"SHOW TABLES IN {name} LIKE 'by_*'").count() == 1 and s.catalog.tableExists(f"{name}.by_state")
+        current = s.catalog.currentDatabase() == name
+        rows = s.sql("SELECT o_orderstatus, n FROM by_state").collect()  # a row per state
+    finally:
+        s.sql(f"USE {before}")
+        s.sql(f"DROP DATABASE {name} CASCADE")
+    gone = not s.catalog.databaseExists(name)
+    return s.createDataFrame([(r.o_orderstatus, r.n, listed, current, gone) for r in rows], "o_orderstatus string, n long, listed boolean, current boolean, gone boolean")
 
 
 @query("cmd_tables_and_statistics", "SELECT 25 AS n, true AS analysed, true AS bucketed, true AS gone")
@@ -118,14 +142,22 @@ def cmd_explain(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(pushed, pruned)], "pushed boolean, pruned boolean")
 
 
-@query("cmd_add_and_list_files", "SELECT true AS listed")
+@query("cmd_add_and_list_files", "SELECT o_orderpriority, count(*) AS n, true AS listed, true AS listed_jar FROM orders WHERE o_orderpriority IN (SELECT o_orderpriority FROM orders GROUP BY 1 HAVING min(o_custkey) < 3) GROUP BY 1")
 def cmd_add_and_list_files(t: Tables) -> DataFrame:
-    import os
-    import tempfile
-
-    path = os.path.join(tempfile.gettempdir(), "tracewright-note.txt")
-    with open(path, "w") as f:
-        f.write("note")
-    t.spark.sql(f"ADD FILE '{path}'")
-    found = [r[0] for r in t.spark.sql("LIST FILES").collect()]
-    return t.spark.createDataFrame([(any("tracewright-note" in x for x in found),)], "listed boolean")
+    """A file and an archive are shipped to all executors; a function there reads its words from the file."""
+    s, tag, local = t.spark, uuid.uuid4().hex[:12], tempfile.mkdtemp(prefix="tracewright-")
+    words, jar = os.path.join(local, f"words-{tag}.txt"), os.path.join(local, f"empty-{tag}.jar")
+    with open(words, "w") as f:
+        f.writelines(r[0] + "\n" for r in t.orders.groupBy("o_orderpriority").agg(F.min("o_custkey").alias("k")).where("k < 3").select("o_orderpriority").collect())  # five at most
+    with zipfile.ZipFile(jar, "w") as z:
+        z.writestr("META-INF/MANIFEST.MF", "Manifest-Version: 1.0\n")
+    s.sql(f"ADD FILE '{words}'")
+    s.sql(f"ADD JAR '{jar}'")
+    listed, listed_jar = (any(tag in r[0] for r in s.sql(f"LIST {kind}").collect()) for kind in ("FILES", "JARS"))
+
+    @F.pandas_udf("boolean")
+    def shipped(word: pd.Series) -> pd.Series:
+        with open(SparkFiles.get(f"words-{tag}.txt")) as f:
+            return word.isin(f.read().splitlines())
+
+    return t.orders.where(shipped("o_orderpriority")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.lit(listed).alias("listed"), F.lit(listed_jar).alias("listed_jar"))

@@ -78,18 +78,21 @@ def source_save_modes(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(appended, overwritten, ignored, refused)], "appended int, overwritten int, ignored int, refused boolean")
 
 
-@query("source_csv_modes", "SELECT 3 AS permissive, 2 AS dropped, true AS failed")
+@query("source_csv_modes", "SELECT count(*) AS permissive, count(*) FILTER (o_orderkey % 5 > 0) AS keys, count(*) FILTER (o_orderkey % 5 > 0) AS dropped, true AS failed FROM orders")
 def source_csv_modes(t: Tables) -> DataFrame:
+    """Every fifth order's key is no number: kept as a null, dropped, or the end of the job."""
     path = folder(t, "malformed")
-    t.spark.createDataFrame([("1,a",), ("x,b",), ("3,c",)], "value string").coalesce(1).write.text(path)
-    read = t.spark.read.schema("k INT, v STRING")
-    keep, drop = read.option("mode", "PERMISSIVE").csv(path).select("k", "v").collect(), read.option("mode", "DROPMALFORMED").csv(path).collect()
+    key = F.expr("if(o_orderkey % 5 = 0, 'x', CAST(o_orderkey AS STRING))")
+    t.orders.select(F.concat_ws(",", key, "o_orderstatus").alias("value")).write.text(path)
+    read = t.spark.read.schema("k BIGINT, v STRING")
+    kept = read.option("mode", "PERMISSIVE").csv(path).agg(F.count("v").alias("permissive"), F.count("k").alias("keys"))
+    dropped = read.option("mode", "DROPMALFORMED").csv(path).where("v IS NOT NULL OR k IS NULL").agg(F.count("k").alias("dropped"))
     try:
-        read.option("mode", "FAILFAST").csv(path).collect()
+        read.option("mode", "FAILFAST").csv(path).agg(F.count("k"), F.count("v")).collect()
         failed = False
     except Exception:
         failed = True
-    return t.spark.createDataFrame([(len(keep), len(drop), failed)], "permissive int, dropped int, failed boolean")
+    return kept.join(dropped).withColumn("failed", F.lit(failed))
 
 
 @query("source_whole_text", "SELECT 25 AS lines, 1 AS files")
@@ -132,9 +135,11 @@ def source_cached_scan(t: Tables) -> DataFrame:
     return t.nation.persist(StorageLevel.MEMORY_AND_DISK).where("n_nationkey > 5").groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
-@query("source_local_rows", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) x(k, v)")
+@query("source_local_rows", "SELECT k, v, count(*) AS n FROM (VALUES ('F', 'filled'), ('O', NULL)) x(k, v) JOIN orders ON o_orderstatus = k GROUP BY k, v")
 def source_local_rows(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    """Two rows of the driver name the states of all orders."""
+    names = t.spark.createDataFrame([("F", "filled"), ("O", None)], "k string, v string")
+    return t.orders.join(F.broadcast(names), F.col("o_orderstatus") == F.col("k")).groupBy("k", "v").agg(F.count("*").alias("n"))
 
 
 def read_jdbc(t: Tables, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:

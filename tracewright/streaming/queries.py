@@ -170,14 +170,16 @@ def stream_reduce_by_window(t: Tables) -> DataFrame:
     return run(t, stream(t).groupBy(F.window("ts", "2 days").alias("w")).agg(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("top")), "complete").select(_ntz("w.start").alias("start"), "total", "top")
 
 
-@query("stream_rate_source", "SELECT 20 AS n, 190 AS total")
+@query("stream_rate_source", "SELECT c_nationkey, count(*) AS n, sum(c_custkey)::BIGINT AS total FROM customer WHERE c_custkey < (SELECT count(*) FROM customer) GROUP BY 1")
 def stream_rate_source(t: Tables) -> DataFrame:
-    """The first batch of a source that counts: 0 to 19."""
-    s = t.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 20).load()
+    """A source that counts, as many rows a batch as there are customers, each joined to the customer of its number."""
+    rows = t.customer.count()
+    counted = t.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", max(rows, 1)).load().where(F.col("value") < rows)
+    met = counted.join(t.customer, F.col("value") == F.col("c_custkey")).select("c_custkey", "c_nationkey")
     path = folder(t, "rate")
-    q = s.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(t, "state")).trigger(once=True).start()
+    q = met.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder(t, "state")).trigger(once=True).start()
     q.awaitTermination()
-    return t.spark.read.schema(s.schema).parquet(path).where("value < 20").agg(F.count("*").cast("int").alias("n"), F.sum("value").cast("int").alias("total"))
+    return t.spark.read.schema(met.schema).parquet(path).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("total"))
 
 
 
