@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -189,20 +191,59 @@ def agg_first_ignoring_nulls(t: Tables) -> DataFrame:
     return t.nation.select("n_regionkey", first.alias("first"), last.alias("last")).distinct()
 
 
+def bloom_size(keys: int, rate: float = 0.03) -> tuple[int, int]:
+    """Bits (whole words) and hash functions for a number of keys and a rate of false positives."""
+    bits = max(64, math.ceil(-max(keys, 1) * math.log(rate) / math.log(2) ** 2))
+    return -(-bits // 64) * 64, max(1, round(-math.log2(rate)))
+
+
+def bloom_filters(keys: DataFrame, key: str, shards: int, bits: int, hashes: int) -> DataFrame:
+    """(shard, words): per shard of the keys one filter as a packed array of 64-bit words.
+
+    Words are set where the keys are and merged by (shard, word); no task holds more than one
+    shard's words.
+    """
+    place = F.explode(_bloom_slots(F.col(key), bits, hashes))
+    slots = keys.where(F.col(key).isNotNull()).select(_bloom_shard(F.col(key), shards).alias("shard"), place.alias("slot"))
+    words = slots.groupBy("shard", (F.col("slot") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits"))
+    found = words.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
+    return found.select("shard", F.expr(f"transform(sequence(0, {bits // 64 - 1}), i -> coalesce(try_element_at(found, i), 0L))").alias("words"))
+
+
+def _bloom_shard(key, shards: int):
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards)).cast("int")
+
+
+def _bloom_slots(key, bits: int, hashes: int):
+    """Double hashing: two hashes make all places of a key."""
+    one, two = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits - 1)) + 1
+    return F.array(*[F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(hashes)])
+
+
+def bloom_thinned(rows: DataFrame, key: str, keys: DataFrame, rate: float = 0.03, shard_bits: int = 1 << 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The rows whose key may be among `keys` (column of the same name): all that are, and about `rate` of the others.
+
+    The filter is sized from the counted keys and dealt into shards of at most `shard_bits`.
+    Below `broadcast_bytes` the shards are broadcast; a larger filter would cost every executor
+    more than it saves, and the rows come back as they are, for the join to decide.
+    """
+    count = keys.where(F.col(key).isNotNull()).agg(F.count("*")).first()[0]
+    total, hashes = bloom_size(count, rate)
+    if total // 8 > broadcast_bytes:
+        return rows
+    shards = max(1, -(-total // shard_bits))
+    bits = -(-total // shards // 64) * 64 + (64 if shards > 1 else 0)  # shards are uneven by a little
+    filters = bloom_filters(keys, key, shards, bits, hashes)
+    met = rows.withColumn("shard", _bloom_shard(F.col(key), shards)).join(F.broadcast(filters), "shard")
+    hit = F.forall(_bloom_slots(F.col(key), bits, hashes), lambda s: F.expr("words")[(s / 64).cast("int")].bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (s % 64).cast("int"))) != 0)
+    return met.where(F.col(key).isNotNull() & hit).drop("shard", "words")
+
+
 @query("agg_bloom_filter", "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
 def agg_bloom_filter(t: Tables) -> DataFrame:
-    """A Bloom filter of fixed size thins the large side, the join removes its false positives."""
-    bits = 1 << 16
+    """A Bloom filter sized from its keys thins the large side, the join removes its false positives."""
     keys = t.customer.where("c_acctbal > 9000").select(F.col("c_custkey").alias("k"))
-
-    def slots(c):
-        return F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)).cast("int") for i in range(3)])
-
-    filled = keys.select(F.explode(slots(F.col("k"))).alias("slot")).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.col("slot") % 32).cast("long")).alias("bits"))
-    table = filled.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("filter"))  # at most 2048 words
-    rows = t.orders.select(F.col("o_custkey").alias("k")).join(F.broadcast(table))
-    hit = F.forall(slots(F.col("k")), lambda s: F.coalesce(F.try_element_at("filter", (s / 32).cast("int")), F.lit(0).cast("long")).bitwiseAND(F.pow(F.lit(2.0), s % 32).cast("long")) != 0)
-    return rows.where(hit).join(keys, "k", "left_semi").agg(F.count("*").alias("n"))
+    return bloom_thinned(t.orders.select(F.col("o_custkey").alias("k")), "k", keys).join(keys, "k", "left_semi").agg(F.count("*").alias("n"))
 
 
 @query("agg_histogram_even", "SELECT least(floor((l_quantity - 1) / ((50 - 1) / 7.0)), 6)::BIGINT AS bucket, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1")

@@ -31,18 +31,19 @@ def _vectors(df: DataFrame, *columns: str):
     return df.select(*[F.col(c).cast("double") for c in columns]).rdd.map(lambda r: Vectors.dense(list(r)))
 
 
-def _fit_line(name: str, train) -> None:
-    @query(f"mllib_{name}", "SELECT round(avg(3 * l_discount * 10), 2) AS mean, round(avg(3 * l_discount * 10), 1) AS predicted FROM lineitem")
+def _fit_line(name: str, weight: str, train) -> None:
+    """`weight` is the closed form for y = 3 x without intercept, from x2, the mean square of x."""
+
+    @query(f"mllib_{name}", f"SELECT round({weight}, 3) AS weight, round(avg(x) * ({weight}), 3) AS predicted FROM (SELECT l_discount * 10 AS x FROM lineitem), (SELECT avg((l_discount * 10) ** 2) AS x2 FROM lineitem) GROUP BY x2")
     def run(t: Tables) -> DataFrame:
         rows = t.lineitem.select((F.col("l_discount") * 10).alias("x"), (F.col("l_discount") * 30).alias("y"))
-        model = train(_points(rows, "y", "x"))
-        weight, intercept = float(model.weights[0]), float(model.intercept)
-        return rows.agg(F.round(F.avg("y"), 2).alias("mean"), F.round(F.avg(F.col("x") * weight + intercept), 1).alias("predicted"))
+        found = float(train(_points(rows, "y", "x")).weights[0])
+        return rows.agg(F.round(F.lit(found), 3).alias("weight"), F.round(F.avg("x") * found, 3).alias("predicted"))
 
 
-_fit_line("linear_sgd", lambda d: R.LinearRegressionWithSGD.train(d, iterations=100, step=1.0))
-_fit_line("lasso_sgd", lambda d: R.LassoWithSGD.train(d, iterations=100, step=1.0, regParam=1e-6))
-_fit_line("ridge_sgd", lambda d: R.RidgeRegressionWithSGD.train(d, iterations=100, step=1.0, regParam=1e-6))
+_fit_line("linear_sgd", "3.0::DOUBLE", lambda d: R.LinearRegressionWithSGD.train(d, iterations=200, step=2.0, convergenceTol=1e-9))
+_fit_line("lasso_sgd", "(3 * x2 - 0.2) / x2", lambda d: R.LassoWithSGD.train(d, iterations=200, step=2.0, regParam=0.2, convergenceTol=1e-9))
+_fit_line("ridge_sgd", "3 * x2 / (x2 + 0.2)", lambda d: R.RidgeRegressionWithSGD.train(d, iterations=200, step=2.0, regParam=0.2, convergenceTol=1e-9))
 
 _SIDES = "SELECT (p_size > 25)::INT AS side, count(*) AS n FROM part WHERE abs(p_size - 25.5) > 8 GROUP BY 1"
 
@@ -66,32 +67,49 @@ _fit_sides("logistic_sgd", lambda d: C.LogisticRegressionWithSGD.train(d, iterat
 _fit_sides("boosted_trees", lambda d: tree.GradientBoostedTrees.trainClassifier(d, {}, numIterations=3))
 _fit_sides("decision_tree", lambda d: tree.DecisionTree.trainClassifier(d, 2, {}, maxDepth=2))
 
-_CENTRE = "SELECT round(avg(l_quantity), 4) AS x, round(avg(l_discount), 4) AS y FROM lineitem"
+def _groups(t: Tables, *ranges: tuple[int, int]) -> DataFrame:
+    """Lines whose quantities fall into ranges far from each other."""
+    inside = " OR ".join(f"l_quantity BETWEEN {a} AND {b}" for a, b in ranges)
+    return t.lineitem.where(inside).selectExpr("l_quantity", "l_discount * 10 AS discount")
+
+
+def _groups_sql(columns: str, *ranges: tuple[int, int]) -> str:
+    at = " ".join(f"WHEN l_quantity BETWEEN {a} AND {b} THEN {i}" for i, (a, b) in enumerate(ranges))
+    return f"SELECT {columns} FROM (SELECT l_quantity, l_discount * 10 AS discount, CASE {at} END AS cluster FROM lineitem) WHERE cluster IS NOT NULL GROUP BY cluster"
 
 
-def _centre(t: Tables, centre) -> DataFrame:
-    return t.spark.createDataFrame([tuple(round(float(c), 4) for c in centre)], "x double, y double")
+def _assigned(t: Tables, model, points, centres) -> DataFrame:
+    """Each centre with the number of rows that the model gives to it."""
+    sizes = t.spark.createDataFrame(model.predict(points).map(lambda c: (int(c),)), "cluster int").groupBy("cluster").agg(F.count("*").alias("n"))
+    places = t.spark.createDataFrame([(i, *(round(float(x), 4) for x in c)) for i, c in enumerate(centres)], "cluster int, x double, y double")
+    return places.join(sizes, "cluster").drop("cluster")
 
 
-def _lines(t: Tables):
-    return _vectors(t.lineitem, "l_quantity", "l_discount")
+_CENTRES = "round(avg(l_quantity), 4) AS x, round(avg(discount), 4) AS y, count(*) AS n"
+_TWO, _FOUR = [(1, 17), (34, 50)], [(1, 5), (14, 18), (33, 37), (46, 50)]
 
 
-@query("mllib_kmeans", _CENTRE)
+@query("mllib_kmeans", _groups_sql(_CENTRES, *_TWO))
 def mllib_kmeans(t: Tables) -> DataFrame:
-    return _centre(t, K.KMeans.train(_lines(t), 1, maxIterations=3).centers[0])
+    points = _vectors(_groups(t, *_TWO), "l_quantity", "discount")
+    model = K.KMeans.train(points, 2, maxIterations=30, seed=1, epsilon=1e-9)
+    return _assigned(t, model, points, model.centers)
 
 
-@query("mllib_bisecting_kmeans", _CENTRE)
+@query("mllib_bisecting_kmeans", _groups_sql(_CENTRES, *_FOUR))
 def mllib_bisecting_kmeans(t: Tables) -> DataFrame:
-    return _centre(t, K.BisectingKMeans.train(_lines(t), 1).clusterCenters[0])
+    """Four groups in two pairs: cut between the pairs first, then within each."""
+    points = _vectors(_groups(t, *_FOUR), "l_quantity", "discount")
+    model = K.BisectingKMeans.train(points, 4, maxIterations=30)
+    return _assigned(t, model, points, model.clusterCenters)
 
 
-@query("mllib_gaussian_mixture", "SELECT round(avg(l_quantity), 2) AS mean, round(var_pop(l_quantity), 2) AS variance, round(covar_pop(l_quantity, l_discount), 3) AS cross FROM lineitem")
+@query("mllib_gaussian_mixture", _groups_sql("round(avg(l_quantity), 2) AS mean, round(var_pop(l_quantity), 2) AS variance, round(covar_pop(l_quantity, discount), 3) AS cross, round(count(*) / (SELECT count(*) FROM lineitem WHERE l_quantity BETWEEN 1 AND 8 OR l_quantity BETWEEN 43 AND 50), 3) AS weight", (1, 8), (43, 50)))
 def mllib_gaussian_mixture(t: Tables) -> DataFrame:
-    """A mixture of one Gaussian has the mean and covariance of the rows."""
-    one = K.GaussianMixture.train(_lines(t), 1, maxIterations=3, seed=1).gaussians[0]
-    return t.spark.createDataFrame([(round(float(one.mu[0]), 2), round(float(one.sigma[0, 0]), 2), round(float(one.sigma[0, 1]), 3))], "mean double, variance double, cross double")
+    """Two groups so far apart that each row belongs to one: the components have their moments."""
+    model = K.GaussianMixture.train(_vectors(_groups(t, (1, 8), (43, 50)), "l_quantity", "discount"), 2, convergenceTol=1e-9, maxIterations=60, seed=1)
+    rows = [(round(float(g.mu[0]), 2), round(float(g.sigma[0, 0]), 2), round(float(g.sigma[0, 1]), 3), round(float(w), 3)) for g, w in zip(model.gaussians, model.weights)]
+    return t.spark.createDataFrame(rows, "mean double, variance double, cross double, weight double")
 
 
 _SCORED = "SELECT l_tax AS score, (l_returnflag = 'R')::INT AS label FROM lineitem"
@@ -149,11 +167,16 @@ def mllib_chi_square_test(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(found.statistic, 6), int(found.degreesOfFreedom))], "statistic double, freedom int")
 
 
-@query("mllib_kolmogorov_smirnov", "SELECT round(max(greatest(i / n - 0.5, 0.5 - (i - 1) / n)), 6) AS statistic FROM (SELECT row_number() OVER () AS i, count(*) OVER () AS n FROM region)")
+# the normal distribution function by its series, which DuckDB can add up
+_PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * sign(z) * list_sum(list_transform(range(0, 80), lambda k: CASE WHEN z = 0 THEN 0 ELSE exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2) END))"
+
+
+@query("mllib_kolmogorov_smirnov", f"SELECT round(max(greatest(i / n - f, f - (i - 1) / n)), 6) AS statistic, count(*) AS n FROM (SELECT {_PHI} AS f, i, n FROM (SELECT (c_acctbal - 4500) / 3000 AS z, row_number() OVER (ORDER BY c_acctbal) AS i, count(*) OVER () AS n FROM customer))")
 def mllib_kolmogorov_smirnov(t: Tables) -> DataFrame:
-    """All values at the mean: the largest distance from the normal distribution is a half."""
-    found = Statistics.kolmogorovSmirnovTest(t.region.select(F.lit(0.0)).rdd.map(lambda r: r[0]), "norm", 0.0, 1.0)
-    return t.spark.createDataFrame([(round(found.statistic, 6),)], "statistic double")
+    """The largest distance of the balances from a normal distribution of given mean and deviation."""
+    values = t.customer.select(F.col("c_acctbal").cast("double")).rdd.map(lambda r: r[0])
+    found = Statistics.kolmogorovSmirnovTest(values, "norm", 4500.0, 3000.0)
+    return t.spark.createDataFrame([(round(found.statistic, 6), t.customer.count())], "statistic double, n long")
 
 
 @query("mllib_idf", "SELECT round(ln((count(*) + 1.0) / (count(*) FILTER (p_size > 40) + 1)), 6) AS a, round(ln((count(*) + 1.0) / (count(*) FILTER (p_size > 10) + 1)), 6) AS b FROM part")
@@ -176,11 +199,13 @@ def mllib_standard_scaler(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(float(model.mean[0]), 4), round(float(model.std[0]), 4))], "mean double, deviation double")
 
 
-@query("mllib_normalizer_product", "SELECT sum(n)::DOUBLE AS n FROM (SELECT CASE WHEN p_size > 0 THEN 2 ELSE 0 END AS n FROM part)")
+@query("mllib_normalizer_product", "SELECT round(sum(2 * p_size / length), 4) AS a, round(sum(3 * p_retailprice / length), 4) AS b, round(sum((p_size / length) ** 2 + (p_retailprice / length) ** 2), 4) AS squares FROM (SELECT p_size, p_retailprice, sqrt(p_size ** 2 + p_retailprice ** 2) AS length FROM part)")
 def mllib_normalizer_product(t: Tables) -> DataFrame:
-    """One positive number, normalised, is one; times two."""
-    found = M.ElementwiseProduct(Vectors.dense([2.0])).transform(M.Normalizer().transform(_vectors(t.part, "p_size"))).map(lambda v: (float(v[0]),))
-    return t.spark.createDataFrame(found, "x double").agg(F.sum("x").alias("n"))
+    """Vectors brought to length one, then each component times its own factor."""
+    unit = M.Normalizer().transform(_vectors(t.part, "p_size", "p_retailprice"))
+    found = M.ElementwiseProduct(Vectors.dense([2.0, 3.0])).transform(unit).map(lambda v: (float(v[0]), float(v[1])))
+    squares = (F.col("a") / 2) ** 2 + (F.col("b") / 3) ** 2
+    return t.spark.createDataFrame(found, "a double, b double").agg(F.round(F.sum("a"), 4).alias("a"), F.round(F.sum("b"), 4).alias("b"), F.round(F.sum(squares), 4).alias("squares"))
 
 
 @query("mllib_hashing_tf", "SELECT sum(len(string_split(n_name, ' ')))::DOUBLE AS n FROM nation")
