@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import Tables
+from .mllib import PHI
 
 
 _PRICES = "floor(o_totalprice / 50000) / 2"
@@ -64,12 +65,21 @@ _classifier("mlp", lambda: C.MultilayerPerceptronClassifier(layers=[2, 4, 2], ma
 _classifier("one_vs_rest", lambda: C.OneVsRest(classifier=C.LogisticRegression(maxIter=60)))
 
 
-@query("ml_naive_bayes", "SELECT y AS label, round(ln((n + 1.0) / (sum(n) OVER () + 2)), 6) AS prior FROM (SELECT (p_size > 25)::INT AS y, count(*) AS n FROM part GROUP BY 1)")
+@query(
+    "ml_naive_bayes",
+    """WITH p AS (SELECT p_partkey, p_size AS a, 50 - p_size AS b, (p_size > 25)::INT AS y FROM part),
+    m AS (SELECT y, ln((count(*) + 1.0) / ((SELECT count(*) FROM p) + 2)) AS prior, ln((sum(a) + 1.0) / (sum(a + b) + 2)) AS ta, ln((sum(b) + 1.0) / (sum(a + b) + 2)) AS tb FROM p GROUP BY y),
+    best AS (SELECT p_partkey, p.y AS label, arg_max(m.y, prior + a * ta + b * tb) AS predicted FROM p, m GROUP BY 1, 2)
+    SELECT label, predicted, count(*) AS n, round(any_value(prior), 6) AS prior FROM best JOIN m ON m.y = label GROUP BY 1, 2""",
+)
 def ml_naive_bayes(t: Tables) -> DataFrame:
-    """Smoothed priors of a multinomial model."""
-    rows = M.VectorAssembler(inputCols=["p_size"], outputCol="features").transform(t.part.select("p_size", (F.col("p_size") > 25).cast("double").alias("label")))
-    prior = C.NaiveBayes(smoothing=1.0).fit(rows).pi
-    return t.spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(prior)], "label int, prior double")
+    """A smoothed multinomial model of two counts: its priors, and what it predicts for every part."""
+    parts = t.part.select("p_size", (50 - F.col("p_size")).alias("rest"), (F.col("p_size") > 25).cast("double").alias("label"))
+    rows = M.VectorAssembler(inputCols=["p_size", "rest"], outputCol="features").transform(parts)
+    model = C.NaiveBayes(smoothing=1.0).fit(rows)
+    prior = t.spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(model.pi)], "label int, prior double")  # two classes
+    found = model.transform(rows).groupBy(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(prior), "label")
 
 
 _LINE = "SELECT l_quantity, round(3 * l_quantity + 5, 2) AS predicted FROM lineitem WHERE l_quantity > 0 GROUP BY l_quantity"
@@ -164,18 +174,23 @@ def _words(t: Tables) -> DataFrame:
     return M.RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+").transform(t.conversations.select("conv_id", "turn", "text"))
 
 
-@query("ml_lda", _GOOD)
+@query("ml_lda", "SELECT count(*) AS n, count(*) AS proper FROM conversations")
 def ml_lda(t: Tables) -> DataFrame:
+    """Every turn gets shares of three topics that add up to one (to nothing where it has no known word)."""
     counts = M.CountVectorizer(inputCol="words", outputCol="features", vocabSize=200).fit(_words(t)).transform(_words(t))
-    topics = K.LDA(k=3, maxIter=3, seed=1).fit(counts).describeTopics(3)
-    return topics.agg((F.count("*") == 3).alias("good"))
+    shares = K.LDA(k=3, maxIter=3, seed=1).fit(counts).transform(counts).select(vector_to_array("topicDistribution").alias("s"), F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("known"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    proper = (F.size("s") == 3) & F.forall("s", lambda x: x >= 0) & (F.abs(total - (F.col("known") > 0).cast("double")) < 1e-6)
+    return shares.agg(F.count("*").alias("n"), F.count_if(proper).alias("proper"))
 
 
-@query("ml_als", _GOOD)
+@query("ml_als", "SELECT count(*) AS n, count(*) AS recovered FROM (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
 def ml_als(t: Tables) -> DataFrame:
-    d = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item"), (F.col("l_quantity") / 10).alias("rating"))
-    model = recommendation.ALS(rank=3, maxIter=3, seed=1, coldStartStrategy="drop").fit(d)
-    return model.transform(d).agg((F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("rating"), 2))) < 2).alias("good"))
+    """Ratings that are a product of a customer's and a part's number are found again by one factor."""
+    met = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("int").alias("user"), F.col("l_partkey").cast("int").alias("item")).distinct()
+    d = met.withColumn("rating", (1 + F.col("user") % 3) * (1 + F.col("item") % 4) / 4.0)
+    model = recommendation.ALS(rank=1, maxIter=10, regParam=1e-6, seed=1).fit(d)
+    return model.transform(d).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prediction") - F.col("rating")) < 0.01).alias("recovered"))
 
 
 @query("ml_text_features", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: length(x) >= 1))::DOUBLE AS n FROM conversations")
@@ -227,11 +242,16 @@ def ml_bucketizers(t: Tables) -> DataFrame:
     return d.groupBy("b").agg(F.count("*").alias("n"))
 
 
-@query("ml_quantile_discretizer", _GOOD)
+@query(
+    "ml_quantile_discretizer",
+    """WITH o AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders),
+    splits AS (SELECT x AS split FROM o WHERE i IN (ceil(n * 0.25), ceil(n * 0.5), ceil(n * 0.75)))
+    SELECT (SELECT count(*) FROM splits WHERE split <= x)::DOUBLE AS q, count(*) AS n, min(x) AS low, max(x) AS high FROM o GROUP BY 1""",
+)
 def ml_quantile_discretizer(t: Tables) -> DataFrame:
-    d = M.QuantileDiscretizer(numBuckets=4, inputCol="o_totalprice", outputCol="q").fit(t.orders).transform(t.orders)
-    n = t.orders.agg(F.count("*").alias("n"))
-    return d.groupBy("q").agg(F.count("*").alias("k")).join(F.broadcast(n)).agg(F.max(F.abs(F.col("k") / F.col("n") - 0.25)).alias("d")).select((F.col("d") < 0.02).alias("good"))
+    """Quarters of the prices, cut at exact quantiles."""
+    d = M.QuantileDiscretizer(numBuckets=4, inputCol="o_totalprice", outputCol="q", relativeError=0.0).fit(t.orders).transform(t.orders)
+    return d.groupBy("q").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
 @query("ml_index_encode", "SELECT c_mktsegment, (row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1)::DOUBLE AS i FROM customer GROUP BY c_mktsegment")
@@ -277,24 +297,35 @@ def ml_dct(t: Tables) -> DataFrame:
     return M.DCT(inputCol="v", outputCol="c").transform(d).select("vec_id", F.round(x[0], 5).alias("a"), F.round(x[1], 5).alias("b"))
 
 
-@query("ml_chi_square", _GOOD)
+def _chi_square_sql(column: str) -> str:
+    return f"(SELECT sum((coalesce(k, 0) - e) ** 2 / e) FROM (SELECT a.v, b.v AS w, a.k * b.k / (SELECT count(*) FROM d) AS e FROM (SELECT {column} AS v, count(*) AS k FROM d GROUP BY 1) a, (SELECT y AS v, count(*) AS k FROM d GROUP BY 1) b) LEFT JOIN (SELECT {column} AS v, y AS w, count(*) AS k FROM d GROUP BY 1, 2) USING (v, w))"
+
+
+@query("ml_chi_square", f"WITH d AS (SELECT o_orderkey % 3 AS a, o_orderstatus = 'F' AS b, o_custkey % 3 AS y FROM orders) SELECT round({_chi_square_sql('a')}, 6) AS a, round({_chi_square_sql('b')}, 6) AS b, 4 AS freedom_a, 2 AS freedom_b")
 def ml_chi_square(t: Tables) -> DataFrame:
-    d = M.VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(t.orders.select((F.col("o_orderkey") % 3).cast("double").alias("a"), (F.col("o_custkey") % 3).cast("double").alias("b"), (F.col("o_orderkey") % 3).cast("double").alias("label")))
-    p = stat.ChiSquareTest.test(d, "f", "label").select(vector_to_array("pValues")[0].alias("p"))
-    M.ChiSqSelector(numTopFeatures=1, featuresCol="f", labelCol="label", outputCol="s").fit(d)
-    return p.select((F.col("p") < 0.01).alias("good"))
+    """The statistics of two columns against a third."""
+    d = t.orders.select((F.col("o_orderkey") % 3).cast("double").alias("a"), (F.col("o_orderstatus") == "F").cast("double").alias("b"), (F.col("o_custkey") % 3).cast("double").alias("label"))
+    found = stat.ChiSquareTest.test(M.VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(d), "f", "label")
+    s = vector_to_array("statistics")
+    return found.select(F.round(s[0], 6).alias("a"), F.round(s[1], 6).alias("b"), F.col("degreesOfFreedom")[0].alias("freedom_a"), F.col("degreesOfFreedom")[1].alias("freedom_b"))
 
 
-@query("ml_kolmogorov_smirnov", _GOOD)
+@query("ml_kolmogorov_smirnov", f"SELECT round(max(greatest(i / n - f, f - (i - 1) / n)), 6) AS statistic FROM (SELECT {PHI} AS f, i, n FROM (SELECT (p_retailprice - 1000) / 300 AS z, row_number() OVER (ORDER BY p_retailprice) AS i, count(*) OVER () AS n FROM part))")
 def ml_kolmogorov_smirnov(t: Tables) -> DataFrame:
-    d = t.orders.select(F.randn(3).alias("x"))
-    return stat.KolmogorovSmirnovTest.test(d, "x", "norm", 0.0, 1.0).select((F.col("statistic") < 0.2).alias("good"))
+    """The largest distance of the prices from a normal distribution of given mean and deviation."""
+    return stat.KolmogorovSmirnovTest.test(t.part, "p_retailprice", "norm", 1000.0, 300.0).select(F.round("statistic", 6).alias("statistic"))
 
 
-@query("ml_word2vec", _GOOD)
+@query("ml_word2vec", "SELECT count(*) AS n, count(*) AS averaged FROM conversations")
 def ml_word2vec(t: Tables) -> DataFrame:
-    model = M.Word2Vec(vectorSize=8, minCount=5, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(_words(t))
-    return model.transform(_words(t)).agg((F.min(F.size(vector_to_array("v"))) == 8).alias("good"))
+    """The vector of a turn is the mean of its words' vectors, words outside the vocabulary counting as zeros."""
+    words = _words(t).withColumn("id", F.struct("conv_id", "turn"))
+    model = M.Word2Vec(vectorSize=8, minCount=5, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(words)
+    first = model.getVectors().select("word", vector_to_array("vector")[0].alias("x"))
+    means = words.select("id", F.explode("words").alias("word")).join(first, "word").groupBy("id").agg(F.sum("x").alias("x"))
+    both = model.transform(words).select("id", vector_to_array("v").alias("v"), F.size("words").alias("k")).join(means, "id", "left")
+    same = (F.size("v") == 8) & (F.abs(F.col("v")[0] - F.coalesce(F.col("x") / F.greatest("k", F.lit(1)), F.lit(0.0))) < 1e-5)
+    return both.agg(F.count("*").alias("n"), F.count_if(same).alias("averaged"))
 
 
 _EQUAL_SETS = f"SELECT list_sort(list_distinct({_PLAIN})) AS w FROM conversations"
